@@ -65,9 +65,9 @@ def matched_negatives(positives: DataFrame, hard: DataFrame, easy: DataFrame, se
     p = p.withColumn("wants_hard", draw_number(f"{seed}-coin", "pos_id") < F.lit(hard_ratio * 4294967296))
     kind = F.when((F.col("n_hard") > 0) & (F.col("wants_hard") | (F.col("n_easy") == 0)), "same_contract").when(F.col("n_easy") > 0, "other_contract")
     p = p.withColumn("neg_type", kind).withColumn("draw", draw_number(seed, "pos_id"))
-    near = p.where("neg_type = 'same_contract'").withColumn("k", F.pmod("draw", "n_hard")).join(numbered, ["contract_id", "category", "k"])
+    near = p.where("neg_type = 'same_contract'").withColumn("k", F.pmod("draw", F.greatest("n_hard", F.lit(1)))).join(numbered, ["contract_id", "category", "k"])
     near = near.select("pos_id", "category", "neg_type", F.col("contract_id").alias("neg_contract_id"), "tile")
-    far = p.where("neg_type = 'other_contract'").withColumn("k", F.pmod("draw", "n_easy")).select("pos_id", "category", "neg_type", "k", draw_number(f"{seed}-tile", "pos_id").alias("tile_draw"))
+    far = p.where("neg_type = 'other_contract'").withColumn("k", F.pmod("draw", F.greatest("n_easy", F.lit(1)))).select("pos_id", "category", "neg_type", "k", draw_number(f"{seed}-tile", "pos_id").alias("tile_draw"))
     far = far.join(owners.withColumnRenamed("contract_id", "neg_contract_id"), ["category", "k"])
     per = easy.withColumnRenamed("contract_id", "neg_contract_id")
     per = per.withColumn("t", F.row_number().over(Window.partitionBy("neg_contract_id", "category").orderBy("tile")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("neg_contract_id", "category")))
