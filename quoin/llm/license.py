@@ -6,8 +6,10 @@ set: variants of the templates below, and at most ``SAMPLE_LINES`` lines of the
 a template. A temperature, fitted to lines kept aside, calibrates the probabilities; a family is predicted only above
 ``threshold``. A prediction is confirmed if enough of a template's word triples occur in the paragraph.
 
-Scoring uses DataFrame functions only. A bound comes first: the sum of each feature's largest advantage over
-``unknown``. Where even that can't reach the threshold the paragraph is unknown, and no family is worked out.
+Scoring uses DataFrame functions only. Two bounds come first, and neither changes a result. A confirmed paragraph holds
+a share of a template's triples, so it must hold one of the words without which too few triples are left: texts without
+such a word aren't split. In a paragraph, the sum of each feature's largest advantage over ``unknown`` must reach the
+threshold before a family is worked out.
 
 Scale: no row leaves its task before the few confirmed paragraphs are put together by document. The model is a constant
 of the plan with ``FEATURES`` weights a family.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -64,6 +67,19 @@ def _triples(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} or {" ".join(words)}
 
 
+def anchors(confirm: float = CONFIRM) -> list[str]:
+    """Words of which any paragraph holds one that has the share ``confirm`` of some template's triples."""
+    out: set[str] = set()
+    for text in sum(TEMPLATES.values(), []):
+        left = own = _triples(_words(text))
+        while len(left) >= confirm * len(own):
+            words = {w for t in left for w in t.split(" ")}
+            pick = max(words, key=lambda w: (len(w) >= 6, sum(w in t.split(" ") for t in left), len(w), w))
+            out.add(pick)
+            left = {t for t in left if pick not in t.split(" ")}
+    return sorted(w for w in out if not any(x != w and x in w for x in out))
+
+
 def _word_column(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _SPLIT), "")
 
@@ -147,6 +163,8 @@ def _table(values: np.ndarray) -> Column:
 
 def paragraphs(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, place (from 0), family, probability, match of every confirmed paragraph."""
+    low = F.lower(F.col("text").cast("string"))
+    docs = docs.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in anchors(confirm)]))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("place", "line"))
     lines = lines.select("doc_id", "place", _word_column(F.col("line")).alias("words")).where(F.size("words") > 0)
     edge = model.weights[:, :-1] - model.weights[:, -1:]
@@ -185,7 +203,6 @@ def scan(docs: DataFrame, model: Classifier | None = None, threshold: float = TH
     found = paragraphs(docs, model, threshold, confirm).groupBy("doc_id", "place").agg(F.first("family").alias("family"))
     found = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_licences"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
     found = found.withColumnRenamed("doc_id", "found_id")
-    blank = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[^\n]*[A-Za-z0-9][^\n]*", "x")
-    lines = F.length(F.regexp_replace(blank, "[^x]", ""))
+    lines = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: x.rlike("[A-Za-z0-9]")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.cast("long").alias("n_paragraphs"))
     return own.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", "n_paragraphs", F.coalesce("n_licences", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("families", F.lit("")).alias("families"))

@@ -360,3 +360,14 @@ def test_empty_tables(spark, empty):
         quality.quality(empty), linededup.dedup_lines(empty), langid.identify(empty), warc.archive(pages), tokencount.count_tokens(empty, P.path("word_bpe_49k.json")),
     ):
         assert df.count() == 0
+
+
+def test_license_anchors_miss_nothing():
+    words = license.anchors()
+    assert len(words) < 20
+    rnd = random.Random(8)
+    for text in sum(license.TEMPLATES.values(), []):
+        own = license._triples(license._words(text))
+        for _ in range(50):
+            some = rnd.sample(sorted(own), math.ceil(license.CONFIRM * len(own)))
+            assert any(w in t for t in some for w in words)
