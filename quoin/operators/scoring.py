@@ -181,3 +181,27 @@ def comparison(metrics: DataFrame, runs: list[str]) -> DataFrame:
     told = metrics.join(F.broadcast(spec.select("task", "metric", "kind")), ["task", "metric"]).withColumn("shown", shown(F.col("value"), F.col("kind"), F.col("lo"), F.col("hi")))
     wide = told.groupBy("task", "metric").pivot("run", runs).agg(F.first("shown"))
     return spec.join(wide, ["task", "metric"], "left").select("pos", "task", "metric", *(F.coalesce(F.col(f"`{r}`"), F.lit("–")).alias(r) for r in runs))
+
+
+def score_run(items: DataFrame, predictions: DataFrame, task: str, order: str, labels: list[str] | None = None, n_boot: int = 1000, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
+    """Scored rows of a run, and its metrics as (task, metric, value, lo, hi); intervals for the headline rates."""
+    joined = with_predictions(items, predictions, order)
+    if task == "classification":
+        rows = score_classification(joined, labels or [])
+        wide = rows.agg(*classification_rates()).join(macro_f1(rows)).join(calibration(rows, "confidence", "correct", bins))
+        drawn = replicates(rows.select("id", "y_true", "pred", "correct"), "id", n_boot)
+        intervals = {"accuracy": interval(drawn.groupBy("b").agg(rate(F.col("correct")).alias("v")), "v"), "macro_f1": interval(macro_f1(drawn, ["b"]), "macro_f1")}
+    else:
+        rows = score_qa(joined)
+        wide = rows.agg(*qa_rates()).join(calibration(rows, bins=bins))
+        flags = rows.select("id", "correct", "hallucinated", "fabricated", "gold_present")
+        rates = {"presence_accuracy": rate(F.col("correct")), "hallucination_rate": rate(F.col("hallucinated")), "fabricated_rate": rate(F.col("fabricated"), ~F.col("gold_present"))}
+        per = replicates(flags, "id", n_boot).groupBy("b").agg(*(c.alias(k) for k, c in rates.items()))
+        intervals = {k: interval(per, k) for k in rates}
+    wide = wide.select(*(F.col(c).cast("double").alias(c) for c in wide.columns))
+    told = None
+    for metric, ci in intervals.items():
+        one = ci.select(F.lit(metric).alias("metric"), "lo", "hi")
+        told = one if told is None else told.unionByName(one)
+    long = wide.withColumn("task", F.lit(task)).unpivot("task", [c for c in wide.columns], "metric", "value")
+    return rows, long.join(F.broadcast(told), "metric", "left").select("task", "metric", "value", "lo", "hi")
