@@ -39,8 +39,8 @@ _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = "\t-\r\x20\x85\xa0"
 LATIN_PRE_TOKEN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-_CACHE_WORDS = 400_000
-_CACHE_PAIRS = 400_000
+_CACHE_WORDS = 150_000
+_CACHE_PAIRS = 150_000
 _CACHED_BYTES = 64
 
 

@@ -37,8 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, unless the session asks for other than Spark's 64 MB: a worker and the JVM each hold
+    a few batches, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(key, "8m")
+
+
 def id_and_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """The two columns that text operators read, so that others are pruned and their names cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

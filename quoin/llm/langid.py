@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, remainder
+from .common import cut, remainder, small_batches
 
 UNKNOWN = "und"
 ORDER = 3
@@ -148,6 +148,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     trees = learn(docs, sample_rows, nodes)
     sent = docs.sparkSession.sparkContext.broadcast((trees.langs, trees.node_of, trees.cost))
     letter = regex.compile(r"\p{L}").search

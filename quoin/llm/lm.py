@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remainder
+from .common import cut, remainder, small_batches
 
 WIDTH = 32
 TABLE = 1 << 17
@@ -50,6 +50,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _read(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id.alias("doc_id"), (remainder(doc_id, 10) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
 

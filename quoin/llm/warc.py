@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, small_batches
 
 MIN_REVISIT = 100
 RECORDS_PER_FILE = 2_000
@@ -121,6 +121,7 @@ def runs(spark, path: str) -> DataFrame:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows)), pa.array(range(len(rows)), pa.int64()), *cols], names=["run", "pos", *_NAMES])
 
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(read, f"run string, pos long, {CAPTURE}")
 
