@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 11
-SAMPLE_LINES = 2_000
+SAMPLE_LINES = 1_000
 THRESHOLD = 0.5
 CONFIRM = 0.6
 UNKNOWN = "unknown"
@@ -68,18 +68,27 @@ def _triples(words: list[str]) -> set[str]:
 
 
 def anchors(confirm: float = CONFIRM) -> list[str]:
-    """Words of which any paragraph holds one that has the share ``confirm`` of some template's triples."""
+    """Long words, and pairs of neighbours, of which any paragraph holds one that has the share ``confirm`` of some
+    template's triples."""
     out: set[str] = set()
     for text in sum(TEMPLATES.values(), []):
         left = own = _triples(_words(text))
         while len(left) >= confirm * len(own):
-            words = {w for t in left for w in t.split(" ")}
-            pick = max(words, key=lambda w: (len(w) >= 6, sum(w in t.split(" ") for t in left), len(w), w))
+            parts = {t: {w for w in t.split(" ") if len(w) >= 6} | {" ".join(p) for p in zip(t.split(" "), t.split(" ")[1:])} for t in left}
+            pick = max(set().union(*parts.values()), key=lambda w: (" " not in w, sum(w in x for x in parts.values()), len(w), w))
             out.add(pick)
-            left = {t for t in left if pick not in t.split(" ")}
+            left = {t for t in left if pick not in parts[t]}
     return sorted(w for w in out if not any(x != w and x in w for x in out))
 
 
+def _anchored(text: Column, confirm: float) -> Column:
+    """Whether a text holds an anchor: words as substrings, pairs with anything but letters and digits between."""
+    found = anchors(confirm)
+    pairs = [w.replace(" ", "[^a-z0-9]+") for w in found if " " in w]
+    words = _let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in found if " " not in w]))
+    return words | text.rlike(f"(?i)(?:{'|'.join(pairs)})") if pairs else words
+
+
 def _word_column(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _SPLIT), "")
 
@@ -109,7 +118,7 @@ class Classifier:
         return p / p.sum(1, keepdims=True)
 
 
-def fit(negatives: list[str], seed: int = 7, epochs: int = 120, rate: float = 0.5, decay: float = 1e-3) -> Classifier:
+def fit(negatives: list[str], seed: int = 7, epochs: int = 80, rate: float = 0.5, decay: float = 1e-3) -> Classifier:
     """Full-batch gradient descent on template variants and lines of other kinds."""
     rnd = random.Random(seed)
     families = list(TEMPLATES)
@@ -157,30 +166,44 @@ def fit(negatives: list[str], seed: int = 7, epochs: int = 120, rate: float = 0.
     return model
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _table(values: np.ndarray) -> Column:
-    return F.lit(values.astype(float).tolist())
+    """A constant array; made from one text, as a literal for each number would be slow to build."""
+    return F.split(F.lit(",".join(map(repr, values.astype(float).tolist()))), ",").cast("array<double>")
 
 
 def paragraphs(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, place (from 0), family, probability, match of every confirmed paragraph."""
-    low = F.lower(F.col("text").cast("string"))
-    docs = docs.where(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in anchors(confirm)]))
+    docs = docs.where(_anchored(F.col("text").cast("string"), confirm))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("place", "line"))
     lines = lines.select("doc_id", "place", _word_column(F.col("line")).alias("words")).where(F.size("words") > 0)
     edge = model.weights[:, :-1] - model.weights[:, -1:]
     bias = model.bias[:-1] - model.bias[-1]
-    total = lambda w: F.aggregate("feats", F.lit(0.0), lambda a, i: a + F.get(_table(w), i))
     # p(family) >= threshold needs an advantage over unknown of at least this
     need = float(model.temperature * np.log(threshold / (1 - threshold)))
-    close = lines.withColumn("feats", _feature_column(F.col("words"))).where(total(edge.max(1)) + F.lit(float(bias.max())) >= F.lit(need))
-    z = [(total(edge[:, f]) + F.lit(float(bias[f]))) / F.lit(model.temperature) for f in range(len(model.families))]
-    close = close.withColumn("z", F.array(*z))
-    top = F.greatest(F.array_max("z"), F.lit(0.0))
-    norm = F.aggregate("z", F.exp(-top), lambda a, x: a + F.exp(x - top))
-    close = close.withColumn("probability", F.exp(F.array_max("z") - top) / norm)
-    close = close.withColumn("family", F.get(F.lit(model.families), F.array_position("z", F.array_max("z")).cast("int") - 1))
+    bound, tables = _table(edge.max(1)), [_table(edge[:, f]) for f in range(len(model.families))]
+    total = lambda feats, t: F.aggregate(feats, F.lit(0.0), lambda a, i: a + F.get(t, i))
+
+    def judged(z: Column) -> Column:
+        def against(top: Column) -> Column:
+            norm = F.aggregate(z, F.exp(-top), lambda a, x: a + F.exp(x - top))
+            family = F.get(F.lit(model.families), F.array_position(z, F.array_max(z)).cast("int") - 1)
+            return F.struct(family.alias("family"), (F.exp(F.array_max(z) - top) / norm).alias("probability"))
+
+        return _let(F.greatest(F.array_max(z), F.lit(0.0)), against)
+
+    def scored(feats: Column) -> Column:
+        z = F.array(*((total(feats, t) + F.lit(float(b))) / F.lit(model.temperature) for t, b in zip(tables, bias)))
+        return F.when(total(feats, bound) + F.lit(float(bias.max())) >= F.lit(need), _let(z, judged))
+
+    close = lines.withColumn("r", _let(F.col("words"), lambda w: _let(_feature_column(w), scored)))
+    close = close.where(F.col("r.probability") >= threshold).select("doc_id", "place", "words", "r.family", "r.probability")
     triples = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, F.lit(3)), " "))).otherwise(F.array(F.array_join("words", " ")))
-    close = close.where(F.col("probability") >= threshold).withColumn("triples", F.array_distinct(triples))
+    close = close.withColumn("triples", F.array_distinct(triples))
     match = F.lit(None).cast("double")
     for family, texts in TEMPLATES.items():
         shares = [F.lit(0.0)]
