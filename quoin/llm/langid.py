@@ -31,6 +31,7 @@ ORDER = 3
 SAMPLE_ROWS = 1_000
 NODES = 3_000
 _ENTRIES = 1 << 24
+_BROADCAST_IDS = 200_000
 _PIECE = 1 << 19
 _PAD = b" " * ORDER
 
@@ -93,7 +94,10 @@ def sample(docs: DataFrame, rows: int) -> DataFrame:
     known = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), 5) != 0))
     ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= rows)
-    return known.join(first.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
+    first = cut(first.select("doc_id", "lang").distinct(), "sampled")
+    if first.count() <= _BROADCAST_IDS:  # else a corpus of very many languages, and texts are shuffled to meet the ids
+        first = F.broadcast(first)
+    return known.join(first, ["doc_id", "lang"], "left_semi")
 
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -> Trees:
