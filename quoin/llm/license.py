@@ -202,8 +202,11 @@ def paragraphs(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD,
 
     close = lines.withColumn("r", _let(F.col("words"), lambda w: _let(_feature_column(w), scored)))
     close = close.where(F.col("r.probability") >= threshold).select("doc_id", "place", "words", "r.family", "r.probability")
-    triples = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, F.lit(3)), " "))).otherwise(F.array(F.array_join("words", " ")))
-    close = close.withColumn("triples", F.array_distinct(triples))
+    def triples_of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
+        return F.array_distinct(F.when(F.size(w) >= 3, runs).otherwise(F.array(F.array_join(w, " "))))
+
+    close = close.withColumn("triples", _let(F.col("words"), triples_of))
     match = F.lit(None).cast("double")
     for family, texts in TEMPLATES.items():
         shares = [F.lit(0.0)]
