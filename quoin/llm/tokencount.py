@@ -5,7 +5,7 @@ that aren't in it are encoded once a worker and kept in the worker's own bounded
 table changes the speed and never a count, so no pre-token is shuffled.
 
 Scale: one pass, no shuffle; the table holds at most ``table_words`` words, a worker's cache ``cache_words``. The
-sample is ``sample_rows`` rows, its counts are summed in Spark, and only the table's words come to the driver.
+sample is ``sample_rows`` texts of at most ``SAMPLE_CHARS`` characters, which the driver counts.
 
 Edge cases: null is empty text with no tokens; special strings in a text count one each. Texts with characters outside
 Latin-1, whose normal forms and letter classes hang on a Unicode version, are counted by the library itself.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text
 
 SAMPLE_ROWS = 2_000
+SAMPLE_CHARS = 20_000
 TABLE_WORDS = 1 << 16
 CACHE_WORDS = 300_000
 #: Pre-tokens of the lower-casing word scheme (fixed by the tokenizer's format), its classes written out for Latin-1.
@@ -92,18 +93,11 @@ class Counter2:
 def frequent_lengths(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, table_words: int = TABLE_WORDS) -> tuple[bytes, bytes]:
     """Frequent pre-tokens of a bounded sample, joined by newlines, and their token counts as 16-bit integers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = Counter2(path), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update((counter.pre_tokens(text) or ([], 0))[0])
-        rows = [(w, n) for w, n in seen.items() if len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
-
-    counted = id_and_text(docs).select("text").limit(sample_rows).repartition(4).mapInArrow(run, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_words)
-    words = [r.word for r in top.collect()]
-    counter = Counter2(path)
+    rows = id_and_text(docs).where(F.length("text") <= SAMPLE_CHARS).select("text").limit(sample_rows).collect()  # reads as few partitions as it takes
+    seen, counter = Counter(), Counter2(path)
+    for row in rows:
+        seen.update(w for w in (counter.pre_tokens(row.text) or ([], 0))[0] if len(w) <= 64)
+    words = sorted(seen, key=lambda w: (-seen[w], w))[:table_words]
     lengths = [min(65535, counter.counts[w]) for w in words]
     return "\n".join(words).encode(), np.array(lengths, "<u2").tobytes()
 
