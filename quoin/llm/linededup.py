@@ -4,8 +4,9 @@ Lines are exploded as 16-byte hashes of their normalised form, distinct document
 over the threshold go, and each document is put together again by position.
 
 Scale: only hashes are shuffled to count; partial sums come first, so a line in a third of all documents costs one row
-a task. The join that hands doomed hashes back streams the hash rows, which Spark splits if they are skewed. Texts are
-shuffled once, by doc_id, to meet their own doomed hashes.
+a task. The shared lines are written before hash rows meet them: Spark then knows their size, broadcasts them if they are
+few, and else can split a skewed key, which it can't while one side comes straight from an aggregate. Texts are shuffled
+once, by doc_id, to meet their own doomed hashes.
 
 Edge cases: null or empty text is one empty line; rows that share a doc_id are one document; a null doc_id counts as
 one document that is smaller than any other.
@@ -58,7 +59,7 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
     lines = cut(id_and_text(docs).mapInArrow(keys, "doc_id long, key binary"), "lines")
     counts = lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    common = counts.where(F.col("n") >= min_docs).select("key", "keeper")
+    common = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper"), "common-lines")
     lost = lines.join(common, "key").where("doc_id < keeper")
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("doomed"))
 
