@@ -32,6 +32,7 @@ SAMPLE_ROWS = 1_000
 NODES = 3_000
 _ENTRIES = 1 << 24
 _BROADCAST_IDS = 200_000
+_AT_ONCE = 1 << 18
 _PIECE = 1 << 19
 _PAD = b" " * ORDER
 
@@ -114,7 +115,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -
     low = grams.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
 
     number = {lang: i for i, lang in enumerate(langs)}
-    probs: list[np.ndarray] = []  # for each node: 256 bytes, languages
+    probs = np.empty((256 + 2 * nodes, 256, n_langs))  # for each node: 256 bytes, languages
 
     def coded(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
         """Probabilities in a context (…, byte, language) from its counts and those of the context below."""
@@ -132,22 +133,28 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -
     lang, gram, n = columns(low)
     one[gram >> 8, gram & 255, lang] = n
     zero = coded(one.sum(0), np.full((256, n_langs), 1 / 256))
-    first = coded(one, zero[None])
-    probs.append(first)
+    probs[:256] = coded(one, zero[None])
     node_of = np.arange(256, dtype=np.int16)
     at = 256
     for k in (2, 3):
-        lang, gram, n = columns(orders[k])
+        lang, gram, n = columns(orders.pop(k))
         ctx, own = np.unique(gram >> 8, return_inverse=True)
-        counts = np.zeros((len(ctx), 256, n_langs))
-        counts[own, gram & 255, lang] = n
-        below = np.concatenate(probs)[node_of[ctx & ((1 << 8 * (k - 1)) - 1)]]
-        probs.append(coded(counts, below))
+        by = np.argsort(own, kind="stable")
+        lang, gram, n, own = lang[by], gram[by], n[by], own[by]
+        below = node_of[ctx & ((1 << 8 * (k - 1)) - 1)]
+        step = max(1, _AT_ONCE // (256 * n_langs))
+        for first in range(0, len(ctx), step):  # some contexts at a time: the driver holds one table, not many
+            lo, hi = np.searchsorted(own, [first, first + step])
+            counts = np.zeros((min(step, len(ctx) - first), 256, n_langs))
+            counts[own[lo:hi] - first, gram[lo:hi] & 255, lang[lo:hi]] = n[lo:hi]
+            probs[at + first : at + first + len(counts)] = coded(counts, probs[below[first : first + step]])
         node_of = np.tile(node_of, 256)
         node_of[ctx] = np.arange(at, at + len(ctx))
         at += len(ctx)
-    cost = -np.log2(np.concatenate(probs)).astype(np.float32)
-    return Trees(langs, node_of, np.ascontiguousarray(cost.reshape(-1, n_langs)))
+    probs = probs[:at]
+    np.log2(probs, out=probs)
+    np.negative(probs, out=probs)
+    return Trees(langs, node_of, probs.astype(np.float32).reshape(-1, n_langs))
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -> DataFrame:
