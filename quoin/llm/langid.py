@@ -6,7 +6,8 @@ bytes already ruled out excluded. The statistics are frozen before scoring, so t
 three bytes before it alone: it is worked out once for each context, byte and language, and a text's exact code length
 is a sum of table entries. The language with the shortest code wins.
 
-Scale: scoring is one pass without shuffle. The sample is ``sample_rows`` texts of each language; trees keep the
+Scale: scoring is one pass without shuffle. Counts come before ranks in sampling, so what is ranked is some more than the
+sample, however large the corpus. The sample is ``sample_rows`` texts of each language; trees keep the
 ``nodes`` most frequent contexts of each order, so the broadcast table has at most about 2 * nodes * 256 entries a
 language, and ``nodes`` is lowered when there are many languages.
 
@@ -93,7 +94,13 @@ def sample(docs: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` labelled training rows of each language, the same ones each time."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), 5) != 0))
-    ranked = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    # Rows with small hashes come first. Counts by size of hash tell how small: few more than ``rows`` are then ranked.
+    size = F.floor(F.log2(F.col("h") + F.lit(1)) * 4)
+    ranked = known.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")).withColumn("b", size)
+    smaller = F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranked.groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("smaller", F.coalesce(smaller, F.lit(0)))
+    most = cut(sizes.where(F.col("smaller") < rows).groupBy("lang").agg(F.max("b").alias("most")), "sizes")
+    ranked = ranked.join(most, "lang").where(F.col("b") <= F.col("most"))
     first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= rows)
     first = cut(first.select("doc_id", "lang").distinct(), "sampled")
     if first.count() <= _BROADCAST_IDS:  # else a corpus of very many languages, and texts are shuffled to meet the ids
