@@ -1,19 +1,20 @@
 """Language-model scores from a hashed maximum-entropy model, beside a smoothed unigram base.
 
-Model. The most frequent tokens are the model's words; they form classes of ``WIDTH`` in order of frequency, and one
-more class holds all other tokens. P(token | history) = P(class | history) * P(token | class, history): two softmax
-layers of ``WIDTH`` outputs each. Their features are the token before, the two before, and the one that a skip leaves,
-hashed (with the class, in the second layer) into one table of weights; biases are logarithms of corpus counts. A token
-of the other class is shared out by its smoothed corpus count, so the probabilities over all tokens sum to one.
+Model. All words of the ``TABLE`` are leaves of a tree of classes, and one more leaf holds the tokens outside it. The
+tree is Huffman's, with ``WIDTH`` branches, so it deepens with the vocabulary. P(token | history) is a product over the
+token's path: at each class a softmax over its branches. The features are the token before, the two before, and the one
+that a skip leaves, hashed with the class into one table of weights, whose rows grow with the number of classes; biases
+are logarithms of corpus counts. Tokens outside the table share their leaf by smoothed corpus count, so the
+probabilities over all tokens sum to one.
 
 Training. Every training text is used once: it belongs to one of ``ROUNDS`` rounds. In a round the tasks sum the
 gradient (observed less expected feature counts) and the expected counts; blocks of the sums are added up in Spark, and
-the driver, which holds only the table of fixed size, steps along the gradient scaled by the counts.
+the driver, which holds only the table of weights, steps along the gradient scaled by the counts.
 
 Counts cover all training tokens and stay distributed. The ``TABLE`` most frequent tokens are broadcast; documents list
 their other tokens, which meet the counts in a join. Texts themselves are never shuffled.
 
-Scale: a task sends at most its distinct words and, in a round, 2 MB of sums. A frequent token never reaches the join,
+Scale: a task sends at most its distinct words and, in a round, 8 MB of sums with a full table. A frequent token never reaches the join,
 so its keys are even, but for tokens that occur in held-out texts alone; Spark splits such skew.
 
 Edge cases: null is empty text, which is a single end token; with nothing to train on, all tokens are unknown. A null
@@ -22,6 +23,7 @@ doc_id counts as remainder 0, so it is held out. Rows that repeat an id are scor
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -79,6 +81,24 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return own.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Huffman's tree of ``WIDTH`` branches over leaves of positive mass: for leaves and then classes, the class above (-1
+    for none) and the branch there; and the number of classes."""
+    m = len(mass)
+    heap = [(x, i) for i, x in enumerate(mass.tolist()) if x > 0]
+    heapq.heapify(heap)
+    above, branch, n = {}, {}, 0
+    size = (len(heap) - 2) % (WIDTH - 1) + 2
+    while len(heap) > 1:
+        parts = [heapq.heappop(heap) for _ in range(size)]
+        for j, (_, i) in enumerate(reversed(parts)):
+            above[i], branch[i] = m + n, j
+        heapq.heappush(heap, (sum(x for x, _ in parts), m + n))
+        n, size = n + 1, WIDTH
+    get = lambda d, none, kind: np.array([d.get(i, none) for i in range(m + n)], kind)
+    return get(above, -1, np.int64), get(branch, 0, np.int64), n
+
+
 class Model:
     """Words, weights and the rest that scoring needs; made from a table of fixed size."""
 
@@ -87,16 +107,21 @@ class Model:
         self.n, self.v = n, v
         self.ids = {w: i + 2 for i, w in enumerate(words)}  # 0: another token, 1: before the text
         self.counts = np.r_[0, 0, counts].astype(np.float64)
-        self.size = min(len(words), (WIDTH - 1) * WIDTH)
-        own = np.zeros((WIDTH, WIDTH))
-        own.reshape(-1)[: self.size] = counts[: self.size]
-        self.rest = math.log10(n - own.sum() + 0.1 * (v - self.size + 1))  # what smoothed counts of the other class sum to
-        mass = own.sum(1)
-        mass[-1] = 10**self.rest
+        other = n - self.counts.sum() + 0.1 * (v - len(words) + 1)
+        self.rest = math.log10(other)  # what smoothed counts of tokens outside the table sum to
+        self.above, self.branch, classes = tree(np.r_[other, self.counts[1:]])
+        self.first = len(self.counts)  # the number of the first class
+        mass = np.r_[other, self.counts[1:], np.zeros(classes)]
+        own = np.zeros((classes, WIDTH))
+        for i in [*np.flatnonzero(self.above[: self.first] >= 0), *range(self.first, self.first + classes)]:  # a class comes after its parts
+            if i >= self.first:
+                mass[i] = own[i - self.first].sum()
+            if self.above[i] >= 0:
+                own[self.above[i] - self.first, self.branch[i]] = mass[i]
         with np.errstate(divide="ignore"):
-            self.class_bias = np.where(mass > 0, np.log(mass), -np.inf).astype(np.float32)
-            self.word_bias = np.where(own > 0, np.log(own), -np.inf).astype(np.float32)
-        self.weights = np.zeros((HASHED, WIDTH), np.float32)
+            self.bias = np.where(own > 0, np.log(own / own.sum(1, keepdims=True)), -np.inf).astype(np.float32)
+        self.rows = max(HASHED, 1 << (4 * classes).bit_length())
+        self.weights = np.zeros((self.rows, WIDTH), np.float32)
 
     def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens, and where each text begins."""
@@ -104,53 +129,50 @@ class Model:
         get = self.ids.get
         return np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
 
-    @staticmethod
-    def _hash(tag: int, *parts: np.ndarray) -> np.ndarray:
+    def _hash(self, tag: int, *parts: np.ndarray) -> np.ndarray:
         h = np.uint64(tag * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         for p in parts:
             h = (h ^ p.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.rows.bit_length() + 1)).astype(np.int64)
 
     def layers(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """For both layers: places, rows of features, biases and the outputs that came."""
+        """For each step up the tree: places, rows of features, classes and the branches that came."""
         one = np.r_[1, ids[:-1]]
         two = np.r_[1, 1, ids[:-2]][: len(ids)]
         one[starts] = 1
         two[starts] = 1
         two[starts[starts + 1 < len(ids)] + 1] = 1
-        rank = ids - 2
-        inside = (rank >= 0) & (rank < self.size)
-        label = np.where(inside, rank // WIDTH, WIDTH - 1)
-        yield np.arange(len(ids)), [self._hash(1, one), self._hash(2, one, two), self._hash(3, two)], self.class_bias[None], label
-        at = np.flatnonzero(inside)
-        a, b, c = one[at], two[at], label[at]
-        yield at, [self._hash(4, c, a), self._hash(5, c, a, b), self._hash(6, c, b)], self.word_bias[c], rank[at] % WIDTH
-
-    def probabilities(self, features: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        w = self.weights
-        x = w[features[0]] + w[features[1]]
-        x += w[features[2]]
-        x += bias
-        x -= x.max(1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        at, own = np.arange(len(ids)), ids
+        while True:
+            some = self.above[own] >= 0
+            at, own = at[some], own[some]
+            if not len(at):
+                return
+            c, x, y = self.above[own], one[at], two[at]
+            yield at, [self._hash(1, c, x), self._hash(2, c, x, y), self._hash(3, c, y)], c - self.first, self.branch[own]
+            own = c
+
+    def probabilities(self, features: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+        x = np.take(self.weights, features[0], axis=0)
+        x += np.take(self.weights, features[1], axis=0)
+        x += np.take(self.weights, features[2], axis=0)
+        x += np.take(self.bias, classes, axis=0)
+        np.exp(x, out=x)  # no overflow: biases are logarithms of shares, and a round moves a weight by at most RATE
+        x /= (x @ np.ones(WIDTH, np.float32))[:, None]
         return x
 
     def gradient(self, texts: list[list[bytes]], out: np.ndarray) -> None:
-        """Adds observed less expected counts, and expected counts, of features to ``out`` (rows, 2, WIDTH)."""
+        """Adds observed and expected counts of features to ``out`` (2, WIDTH, rows)."""
         ids, starts = self.places(texts)
-        for _, features, bias, label in self.layers(ids, starts):
-            if not len(label):
-                continue
-            p = np.ascontiguousarray(self.probabilities(features, bias).T)
+        seen = out[0].reshape(-1)
+        for _, features, classes, label in self.layers(ids, starts):
+            p = np.ascontiguousarray(self.probabilities(features, classes).T)
+            one = np.ones(len(label))
             for f in features:
-                seen = np.bincount(f * WIDTH + label, minlength=HASHED * WIDTH).reshape(HASHED, WIDTH)
-                out[:, 0] += seen
+                np.add.at(seen, label * self.rows + f, one)
                 for c in range(WIDTH):
-                    expected = np.bincount(f, weights=p[c], minlength=HASHED)
-                    out[:, 0, c] -= expected
-                    out[:, 1, c] += expected
+                    out[1, c] += np.bincount(f, weights=p[c], minlength=self.rows)
 
     def step(self, sums: np.ndarray) -> None:
         """One update: the gradient over the larger of observed and expected counts."""
@@ -159,18 +181,15 @@ class Model:
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text, of tokens in the table: sum of log10(c + 0.1) for the base and for the model, and how many are
-        known; then how many are of the model's other class; and the ids."""
+        known; then how many are outside the table; and the ids."""
         ids, starts = self.places(texts)
         logs = np.zeros(len(ids))
-        for at, features, bias, label in self.layers(ids, starts):
-            if len(at):
-                p = self.probabilities(features, bias)[np.arange(len(at)), label]
-                logs[at] += np.log10(np.maximum(p, 1e-30), dtype=np.float64)
+        for at, features, classes, label in self.layers(ids, starts):
+            p = self.probabilities(features, classes)[np.arange(len(at)), label]
+            logs[at] += np.log10(np.maximum(p, 1e-30), dtype=np.float64)
         base = np.where(ids > 1, np.log10(self.counts[ids] + 0.1), 0)
-        other = ids - 2 >= self.size
-        logs += np.where(other, base, 0)
         add = lambda x: np.add.reduceat(x, starts)
-        return add(base), add(logs), add((self.counts[ids] > 0).astype(np.int64)), add((other | (ids == 0)).astype(np.int64)), ids
+        return add(base), add(logs), add((self.counts[ids] > 0).astype(np.int64)), add((ids == 0).astype(np.int64)), ids
 
 
 def _chunks(column: pa.Array) -> Iterator[list[list[bytes]]]:
@@ -186,8 +205,8 @@ def _chunks(column: pa.Array) -> Iterator[list[list[bytes]]]:
         yield part
 
 
-def _summed(rows: DataFrame) -> np.ndarray:
-    """Adds up blocks of sums by their numbers; the result has the fixed size of the table."""
+def _summed(rows: DataFrame, height: int) -> np.ndarray:
+    """Adds up blocks of sums by their numbers; the result has the size of the table, ``height`` rows."""
     shape = (_BLOCK_ROWS, 2, WIDTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +217,7 @@ def _summed(rows: DataFrame) -> np.ndarray:
                 total[i] += np.frombuffer(data.as_buffer(), np.float32).reshape(shape)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
 
-    out = np.zeros((HASHED, 2, WIDTH))
+    out = np.zeros((height, 2, WIDTH))
     for row in rows.repartition("block").mapInArrow(run, "block int, sums binary").toLocalIterator():
         out[row.block * _BLOCK_ROWS : (row.block + 1) * _BLOCK_ROWS] = np.frombuffer(row.sums, np.float32).reshape(shape)
     return out
@@ -224,16 +243,17 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, table: int =
         sent = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((HASHED, 2, WIDTH))
+            out = np.zeros((2, WIDTH, sent.value.rows))
             for batch in batches:
                 for texts in _chunks(batch.column(0)):
                     sent.value.gradient(texts, out)
-            blocks = out.astype(np.float32).reshape(-1, _BLOCK_ROWS * 2 * WIDTH)
+            out[0] -= out[1]
+            blocks = np.ascontiguousarray(out.transpose(2, 0, 1), np.float32).reshape(-1, _BLOCK_ROWS * 2 * WIDTH)
             some = np.flatnonzero(blocks.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[b].tobytes() for b in some], pa.binary())], names=["block", "sums"])
 
         part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i).select("text")
-        model.step(_summed(part.mapInArrow(run, "block int, sums binary")))
+        model.step(_summed(part.mapInArrow(run, "block int, sums binary"), model.rows))
         sent.unpersist()
     return model
 

@@ -249,6 +249,16 @@ def test_lm_probabilities_sum_to_one(docs):
     assert abs(p - 1) < 1e-4
 
 
+def test_lm_context_tells_rare_words_apart(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(f"a{i} b{i}" for i in rnd.sample(range(1200), 80)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train(docs, lm.token_counts(docs))
+    score = lambda i, j: model.score([[f"a{i}".encode(), f"b{j}".encode()]])[1][0]
+    gains = [score(i, i) - score(i, (i + 600) % 1200) for i in range(0, 1200, 3)]  # over 2,400 words, all about as frequent
+    assert sum(g > 0.3 for g in gains) > 0.8 * len(gains)
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     grams = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
