@@ -1,6 +1,8 @@
 """Licence notices: a trained paragraph classifier over sparse word n-grams, confirmed by templates.
 
-Paragraphs are lines. Words and pairs of words are hashed into ``FEATURES`` places, and a multinomial logistic
+Paragraphs are lines, and for wrapped notices groups of neighbouring lines with words: the lines after the first go on
+until they hold as many words as the longest template. Of confirmed groups that overlap, the one that ends first stays,
+and of those the shortest. Words and pairs of words are hashed into ``FEATURES`` places, and a multinomial logistic
 regression with an ``unknown`` class gives each family a probability. It is fitted on the driver to a bounded labelled
 set: variants of the templates below, and at most ``SAMPLE_LINES`` lines of the corpus that share no word triple with
 a template. A temperature, fitted to lines kept aside, calibrates the probabilities; a family is predicted only above
@@ -176,11 +178,30 @@ def _table(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(repr, values.astype(float).tolist()))), ",").cast("array<double>")
 
 
+def _groups(by_line: Column) -> Column:
+    """For each line the words of it alone, then with one more line, two more and so on, up to the next line without a word
+    or until the lines after the first hold as many words as the longest template."""
+    most = max(len(_words(text)) for text in sum(TEMPLATES.values(), []))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"), F.lit(True).alias("on"))
+
+    def further(a: Column, line: Column) -> Column:
+        on = a["on"] & (F.size(line) > 0) & (a["n"] < most)
+        return F.struct((a["n"] + F.size(line)).alias("n"), (a["lines"] + on.cast("int")).alias("lines"), on.alias("on"))
+
+    def from_line(line: Column, i: Column) -> Column:
+        more = F.aggregate(F.slice(by_line, i + 2, F.lit(most)), start, further)["lines"]
+        longer = F.transform(F.slice(F.sequence(F.lit(2), F.lit(most + 1)), F.lit(1), more), lambda k: F.flatten(F.slice(by_line, i + 1, k)))
+        return F.when(F.size(line) > 0, F.concat(F.array(line), longer)).otherwise(F.array(line))
+
+    return F.transform(by_line, from_line)
+
+
 def paragraphs(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, place (from 0), family, probability, match of every confirmed paragraph."""
     docs = docs.where(_anchored(F.col("text").cast("string"), confirm))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("place", "line"))
-    lines = lines.select("doc_id", "place", _word_column(F.col("line")).alias("words")).where(F.size("words") > 0)
+    by_line = F.transform(F.split(F.col("text").cast("string"), "\n"), _word_column)
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(_let(by_line, _groups)).alias("place", "groups"))
+    lines = lines.select("doc_id", "place", F.posexplode("groups").alias("more", "words")).where(F.size("words") > 0)
     edge = model.weights[:, :-1] - model.weights[:, -1:]
     bias = model.bias[:-1] - model.bias[-1]
     # p(family) >= threshold needs an advantage over unknown of at least this
@@ -201,7 +222,7 @@ def paragraphs(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD,
         return F.when(total(feats, bound) + F.lit(float(bias.max())) >= F.lit(need), _let(z, judged))
 
     close = lines.withColumn("r", _let(F.col("words"), lambda w: _let(_feature_column(w), scored)))
-    close = close.where(F.col("r.probability") >= threshold).select("doc_id", "place", "words", "r.family", "r.probability")
+    close = close.where(F.col("r.probability") >= threshold).select("doc_id", "place", "more", "words", "r.family", "r.probability")
     def triples_of(w: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
         return F.array_distinct(F.when(F.size(w) >= 3, runs).otherwise(F.array(F.array_join(w, " "))))
@@ -214,7 +235,12 @@ def paragraphs(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD,
             own = sorted(_triples(_words(text)))
             shares.append(F.size(F.array_intersect("triples", F.lit(own))) / F.lit(float(len(own))))
         match = F.coalesce(match, F.when(F.col("family") == family, F.greatest(*shares)))
-    return close.withColumn("match", match).where(F.col("match") >= confirm).select("doc_id", "place", "family", "probability", "match")
+    close = close.withColumn("match", match).where(F.col("match") >= confirm)
+    found = F.struct((F.col("place") + F.col("more")).alias("last"), "more", "place", "family", "probability", "match")
+    found = close.groupBy("doc_id").agg(F.array_sort(F.collect_list(found)).alias("all"))
+    apart = lambda a, x: F.when(F.coalesce(F.get(a, F.size(a) - 1)["last"], F.lit(-1)) < x["place"], F.concat(a, F.array(x))).otherwise(a)
+    kept = F.aggregate("all", F.slice("all", 1, 0), apart)
+    return found.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.place", "x.family", "x.probability", "x.match")
 
 
 def train(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Classifier:

@@ -144,6 +144,18 @@ def test_license_scores_as_the_classifier_says(docs):
     assert abs(row.probability - p[0].max()) < 1e-9
 
 
+def test_license_in_wrapped_lines(spark, docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files."
+    gpl = "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU\n# General Public License version 3."
+    bsd = "\n".join(license.TEMPLATES["BSD-3-Clause"][0].split(" "))
+    blank = "Permission is hereby granted, free of charge,\n\nto any person obtaining a copy of this\n\nsoftware and associated documentation files."
+    texts = [mit, gpl, bsd, blank, f"{gpl}\n\n{bsd}\nLicensed under CC BY 4.0."]
+    df = spark.createDataFrame([*enumerate(texts), (None, gpl)], "doc_id long, text string")
+    got = license.scan(df, license.train(docs)).select("doc_id", "n_licences", "families").collect()
+    want = [(0, 1, "MIT"), (1, 1, "GPL-3.0"), (2, 1, "BSD-3-Clause"), (3, 0, ""), (4, 3, "BSD-3-Clause,CC-BY-4.0,GPL-3.0"), (None, 1, "GPL-3.0")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_bpe(docs, rows):
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
