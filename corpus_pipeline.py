@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm import bpe, decontam, langid, linededup, simhash
-from quoin.llm.common import fresh_path, table
+from quoin.llm.common import cut, fresh_path, table
 from quoin.llm.queries import tokenizer_path
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``keep``, with the columns of ``docs`` whatever their names; null ids match."""
-    ids = keep.select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["__keep_id"]), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, written, so that a row has the same key however often it is read."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
-def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """The other rows of ``docs``."""
-    ids = drop.select(F.col("doc_id").alias("__drop_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["__drop_id"]), "left_anti")
+def _by_row(rows: DataFrame) -> DataFrame:
+    """Columns that the operators read, with the row's key as its id: ids may be null or repeat."""
+    return rows.select(F.col("__row").alias("doc_id"), *(c for c in ("text", "lang") if c in rows.columns))
+
+
+def _without(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """``rows`` without those whose keys are the ids of ``drop``."""
+    return rows.join(drop.select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text, no letter) go."""
-    return _without(docs, langid.identify(docs).where(F.col("lang_pred") == langid.UNKNOWN))
+    rows = _keyed(docs)
+    return _without(rows, langid.identify(_by_row(rows)).where(F.col("lang_pred") == langid.UNKNOWN)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +44,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays (rows that share an id stay together)."""
-    found = simhash.near_duplicates(docs)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near duplicates one row stays, that with the smallest id (null ids last)."""
+    rows = _keyed(docs)
+    found = simhash.near_duplicates(_by_row(rows)).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    own = rows.select("__row", F.col("doc_id").cast("long").alias("__id")).join(found, "__row")
+    first = own.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("x"))
+    return rows.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return _without(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("hit") > 0))
+    rows = _keyed(docs)
+    found = decontam.contamination(_by_row(rows), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.where(F.size("hit") > 0)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,16 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert sorted(r.doc_id for r in rows) == [1, 3, 6] and all(r.n_tokens > 0 for r in rows)
+
+
+def test_null_and_repeated_ids_are_decided_by_row(spark, folder):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string"
+    leak = "leak: one two three four five six seven eight nine ten eleven"
+    clean = ["Rivers run slowly past the mill where nobody grinds corn in winter", "Under bright lamps a tailor counts buttons by size and by colour"]
+    rows = [(i, t, "en", "a", 0, "x") for i in (None, 5) for t in (*clean, leak, "1234 !!")]
+    kept = lambda stage, r: sorted((str(x.doc_id), x.text) for x in stage(spark, spark.createDataFrame(r, schema), folder).collect())
+    want = lambda *texts: sorted((i, t) for i in ("None", "5") for t in texts)
+    assert kept(corpus_pipeline.language, rows) == want(*clean, leak)
+    assert kept(corpus_pipeline.decontamination, rows) == want(*clean, "1234 !!")
+    one = [(None, clean[0], "en", "a", 0, "x")] * 3 + [(5, clean[1], "en", "a", 0, "x")] * 2 + [(None, clean[1], "en", "a", 0, "x")]
+    assert kept(corpus_pipeline.near_duplicates, one) == sorted([("None", clean[0]), ("5", clean[1])])
