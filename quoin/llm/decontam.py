@@ -10,6 +10,7 @@ Scale: the benchmark is read in blocks of at most ``block_words`` words, which b
 one pass over the documents without any shuffle, and only if there are several blocks are their hits merged by document.
 
 Edge cases: null or empty text has no words; an item without words matches nothing; items that repeat an id count once.
+An item with a null id hits words like any other, but has no id to be listed among the items found.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 class Benchmark:
     """One block of the benchmark, ready to be looked up: winnowed hashes and the windows that contain them."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, k: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int, k: int) -> None:
         self.window, self.k = window, k
         self.windows: dict[bytes, set[str]] = {}
         kept: dict[int, list[np.ndarray]] = {}
@@ -77,7 +78,9 @@ class Benchmark:
                 continue
             size = min(window, len(ws))
             for i in range(len(ws) - size + 1):
-                self.windows.setdefault(b" ".join(ws[i : i + size]), set()).add(item)
+                names = self.windows.setdefault(b" ".join(ws[i : i + size]), set())
+                if item is not None:
+                    names.add(item)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
             grams = _gram_hashes(hashes, k if size == window else size)
             places = winnow(grams, window - k + 1) if size == window else np.array([0])
@@ -118,7 +121,7 @@ class Benchmark:
                     if (d, i) in seen:
                         continue
                     seen.add((d, i))
-                    if items := self.windows.get(b" ".join(ws[i : i + size])):
+                    if (items := self.windows.get(b" ".join(ws[i : i + size]))) is not None:
                         spans, names = found.setdefault(d, ([], set()))
                         spans.extend(range(i, i + size))
                         names |= items
@@ -127,14 +130,14 @@ class Benchmark:
 
 
 @lru_cache(maxsize=2)
-def _prepared(block: tuple[tuple[str, str], ...], window: int, k: int) -> Benchmark:
+def _prepared(block: tuple[tuple[str | None, str], ...], window: int, k: int) -> Benchmark:
     return Benchmark(list(block), window, k)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[tuple[str, str], ...]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[tuple[str | None, str], ...]]:
     """The benchmark's items, streamed to the driver a partition at a time, in blocks of bounded size."""
     items, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
     for row in rows.toLocalIterator():
         size = len(words(row.t))
         if items and held + size > block_words:

@@ -223,6 +223,14 @@ def test_decontamination(spark, docs, rows, block_words):
     same(decontam.contamination(docs, bench, block_words=block_words), want)
 
 
+@pytest.mark.parametrize("block_words", [10**6, 2])
+def test_decontamination_by_items_without_id(spark, block_words):
+    bench = spark.createDataFrame([(None, "one two three"), (4, "two three"), (None, None)], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "zero one two three"), (2, "two three"), (3, "one two")], "doc_id long, text string")
+    same(decontam.contamination(texts, bench, block_words=block_words), [(1, 4, [1, 2, 3], ["4"]), (2, 2, [0, 1], ["4"]), (3, 2, [], [])])
+    same(decontam.contamination(texts, bench.where("item_id is null"), block_words=block_words), [(1, 4, [1, 2, 3], []), (2, 2, [], []), (3, 2, [], [])])
+
+
 def test_winnowing_guarantee():
     rnd = np.random.default_rng(1)
     for _ in range(200):
