@@ -1,4 +1,9 @@
-"""A corpus pipeline of the training-data operators: each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline of the training-data operators: each stage is written as Parquet and read again by the next.
+
+Every stage decides by row: ids may be null or repeat, rows may be equal, tables empty, texts null, empty or very long, and
+other columns have any names but ``__file``, ``__at`` and the like. No stage shuffles texts: language ID, decontamination
+and encoding go over them once, line dedup and near-dedup write them in place and bring marks to them.
+"""
 
 from __future__ import annotations
 
@@ -6,57 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm import bpe, decontam, langid, linededup, simhash
-from quoin.llm.common import cut, fresh_path, table
+from quoin.llm.common import delete, fresh_path, placed, scratch, table, without
 from quoin.llm.queries import tokenizer_path
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, written, so that a row has the same key however often it is read."""
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-
-
-def _by_row(rows: DataFrame) -> DataFrame:
-    """Columns that the operators read, with the row's key as its id: ids may be null or repeat."""
-    return rows.select(F.col("__row").alias("doc_id"), *(c for c in ("text", "lang") if c in rows.columns))
-
-
-def _without(rows: DataFrame, drop: DataFrame) -> DataFrame:
-    """``rows`` without those whose keys are the ids of ``drop``."""
-    return rows.join(drop.select(F.col("doc_id").alias("__row")), "__row", "left_anti").drop("__row")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letter) go."""
-    rows = _keyed(docs)
-    return _without(rows, langid.identify(_by_row(rows)).where(F.col("lang_pred") == langid.UNKNOWN)).select(*(f"`{c}`" for c in docs.columns))
+    """Rows whose language can't be told (null or empty text, no letter) go, and no others."""
+    return docs.where(langid.predictor(docs)(F.col("text"))["lang_pred"] != langid.UNKNOWN)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go, but for one; ``n_chars`` follows the text."""
-    doomed = linededup.shared_lines(docs).select(F.col("doc_id").alias("__lost_id"), F.col("doomed").alias("__doomed"))
-    joined = docs.join(doomed, F.coalesce(docs["doc_id"].cast("long"), F.lit(linededup.NO_ID)) == F.col("__lost_id"), "left")
-    changed = F.col("__doomed").isNotNull()
-    joined = joined.withColumn("text", F.when(changed, linededup.rebuilt(F.col("text"), F.col("__doomed"))).otherwise(F.col("text")))
+    """Lines that many documents share go, but for the largest id; ``n_chars`` follows the text. All rows stay. Rows that
+    share an id are one document, and a null id is one that is smaller than any other."""
+    found = linededup.without_shared_lines(docs)
+    changed = {"text": F.when(F.col("__n_dropped") > 0, F.col("__text")).otherwise(F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        joined = joined.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
+        n = F.length("__text").cast(dict(docs.dtypes)["n_chars"])
+        changed["n_chars"] = F.when(F.col("__n_dropped") > 0, n).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(*(changed.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, that with the smallest id (null ids last)."""
-    rows = _keyed(docs)
-    found = simhash.near_duplicates(_by_row(rows)).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    own = rows.select("__row", F.col("doc_id").cast("long").alias("__id")).join(found, "__row")
-    first = own.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row")).alias("x"))
-    return rows.join(first.select(F.col("x.__row").alias("__row")), "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    """Of each group of near duplicates one row stays, that with the smallest id (null ids last; of rows that repeat the id
+    the first). Rows without words are a group of their own."""
+    rows = placed(docs)
+    return without(rows, simhash.copies(rows)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    rows = _keyed(docs)
-    found = decontam.contamination(_by_row(rows), table(spark, sf_dir, "benchmark"))
-    return _without(rows, found.where(F.size("hit") > 0)).select(*(f"`{c}`" for c in docs.columns))
+    """Rows that hold a benchmark window go, and no others; null and empty texts hold none."""
+    find = decontam.hits(table(spark, sf_dir, "benchmark"), spark)
+    return docs.where(F.size(find(F.col("text"))["hit"]) == 0)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,12 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = fresh_path(spark, f"stage{i}")
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
-    return docs
+    """All stages over ``documents``. What a stage leaves behind is deleted when its successor is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = fresh_path(spark, f"stage{i}")
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,11 +6,12 @@ inside the shared span, whatever surrounds it. The kept hashes of documents meet
 meeting is extended: the benchmark windows that contain it are compared word by word, and the words of those that
 really occur are hit. An item of fewer than ``WINDOW`` words is a single window of its own length, found by its hash.
 
-Scale: the benchmark is read in blocks of at most ``block_words`` words, which bounds what is broadcast; each block is
-one pass over the documents without any shuffle, and only if there are several blocks are their hits merged by document.
+Scale: the benchmark is read in blocks of at most ``block_words`` words, which bounds what a worker holds. There is one
+pass over the documents, without any shuffle; each batch of documents meets one block after the other.
 
 Edge cases: null or empty text has no words; an item without words matches nothing; items that repeat an id count once.
-An item with a null id hits words like any other, but has no id to be listed among the items found.
+An item with a null id hits words like any other, but has no id to be listed among the items found. No benchmark at all
+hits nothing. Rows that repeat an id are judged each.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import small_batches
 
 WINDOW = 10
 K = 5
@@ -148,44 +149,31 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[tuple[str
     yield tuple(items)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+def hits(benchmark: DataFrame | None, spark: SparkSession, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS):
+    """A function of a text column: struct<n_words long, hit array<int>, items array<string>>."""
+    small_batches(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_words)] if benchmark is not None else []
+
+    def judge(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        rows = [(len(words(t)), np.zeros(0, np.int64), set()) for t in texts] if not blocks else []
+        for sent in blocks:
+            more = _prepared(sent.value, window, k).hits(texts)
+            rows = [(n, np.union1d(a, b) if len(b) else a, x | y) for (n, a, x), (_, b, y) in zip(rows, more)] if rows else more
+        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(cols, names=["n_words", "hit", "items"])
+
+    @F.arrow_udf("struct<n_words: bigint, hit: array<int>, items: array<string>>")
+    def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            size = 1024 if len(blocks) < 2 else max(1, len(column))  # with several blocks, each is prepared once a batch
+            parts = [judge(column.slice(at, size)) for at in range(0, len(column), size)]
+            yield pa.concat_arrays(parts) if parts else judge(column)
+
+    return lambda text: find(text.cast("string"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame | None, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, hit (places of words inside benchmark windows, ascending), items (sorted ids) for every row."""
-    sc = docs.sparkSession.sparkContext
-    source = id_and_text(docs)
-    passes = []
-    schema = "doc_id long, n_words long, hit array<int>, items array<string>, row_key long"
-    blocks = list(_blocks(benchmark, block_words)) if benchmark else []
-    for block in blocks:
-        sent = sc.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bench = _prepared(sent.value, window, k)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    texts = part.column(1).to_pylist()
-                    rows = bench.hits(texts)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0),
-                            pa.array([r[0] for r in rows], pa.int64()),
-                            pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-                            pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-                            pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) >> 1 for t in texts] if len(blocks) > 1 else [0] * len(texts), pa.int64()),
-                        ],
-                        names=["doc_id", "n_words", "hit", "items", "row_key"],
-                    )
-
-        passes.append(source.mapInArrow(run, schema))
-    if len(passes) == 1:
-        return passes[0].drop("row_key")
-    # Equal rows (same id and text) have equal hits: they are merged as one and multiplied back by their number.
-    merged = passes[0].withColumn("copies", F.lit(1))
-    for more in passes[1:]:
-        merged = merged.unionByName(more.withColumn("copies", F.lit(0)))
-    merged = merged.groupBy("doc_id", "row_key", "n_words").agg(
-        F.sum("copies").cast("int").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    return merged.select("doc_id", "n_words", "hit", "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    find = hits(benchmark, docs.sparkSession, window, k, block_words)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), find(F.col("text")).alias("v")).select("doc_id", "v.n_words", "v.hit", "v.items")

@@ -3,16 +3,19 @@
 Each language has a tree of byte contexts of order 0 to 3 with counts from a bounded sample of its texts. A byte seen
 in the longest known context is coded there; otherwise an escape is coded and the next shorter context tried, with the
 bytes already ruled out excluded. The statistics are frozen before scoring, so the code length of a byte hangs on the
-three bytes before it alone: it is worked out once for each context, byte and language, and a text's exact code length
-is a sum of table entries. The language with the shortest code wins.
+three bytes before it alone. Every context of the sample is kept: hashed tables hold, by order, the code lengths of the
+bytes seen after a context, and the cost of the escape from it with what exclusion gives back. A text's exact code length
+is a sum of such entries. The language with the shortest code wins.
 
 Scale: scoring is one pass without shuffle. Counts come before ranks in sampling, so what is ranked is some more than the
-sample, however large the corpus. The sample is ``sample_rows`` texts of each language; trees keep the
-``nodes`` most frequent contexts of each order, so the broadcast table has at most about 2 * nodes * 256 entries a
-language, and ``nodes`` is lowered when there are many languages.
+sample, however large the corpus. The sample is ``sample_rows`` texts of each language, and there are at most
+``max_languages`` labels: with more, learning stops with an error, since labels of such a number aren't languages and
+tables would grow with them. Languages are learned and scored ``_TOGETHER`` at a time; what is broadcast has, for each
+of these blocks, a row of that many numbers for each distinct run of four bytes in its sample.
 
 Edge cases: null text or text without a letter is ``und`` with score 0, and so is everything when nothing can be
-learned. Equal code lengths go to the language first in order of name. A null doc_id counts as remainder 0.
+learned. Equal code lengths go to the language first in order of name. A null doc_id counts as remainder 0. Rows that
+repeat an id are judged each.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, remainder, small_batches
@@ -30,47 +33,137 @@ from .common import cut, remainder, small_batches
 UNKNOWN = "und"
 ORDER = 3
 SAMPLE_ROWS = 1_000
-NODES = 3_000
-_ENTRIES = 1 << 24
+MAX_LANGUAGES = 128
+_TOGETHER = 8
 _BROADCAST_IDS = 200_000
-_AT_ONCE = 1 << 18
-_PIECE = 1 << 19
+_PIECE = 1 << 18
 _PAD = b" " * ORDER
 
 
+class Places:
+    """Numbers (32 bits) and their places in a sorted list, by a hash table with open addresses."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys.astype(np.uint32)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._hash(self.keys)
+        while len(left):
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            taken = free[first]
+            self.slots[at[taken]] = left[taken]
+            stay = np.ones(len(left), bool)
+            stay[taken] = False
+            left, at = left[stay], (at[stay] + 1) & (len(self.slots) - 1)
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        return ((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int32)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for those that aren't there."""
+        if not len(self.keys):
+            return np.full(len(x), -1, np.int32)
+        at = self._hash(x)
+        out = self.slots[at]
+        off = np.flatnonzero((out >= 0) & (self.keys[out] != x))
+        while len(off):
+            at_off = (at[off] + 1) & (len(self.slots) - 1)
+            at[off] = at_off
+            out[off] = found = self.slots[at_off]
+            off = off[(found >= 0) & (self.keys[found] != x[off])]
+        return out
+
+
 class Trees:
-    """Code lengths in bits: ``cost[node * 256 + byte, language]``; ``node_of[three bytes]`` is the longest context."""
-
-    def __init__(self, langs: list[str], node_of: np.ndarray, cost: np.ndarray) -> None:
-        self.langs, self.node_of, self.cost = langs, node_of, cost
-
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """A row for each text, a column for each language."""
-        out = np.zeros((len(texts), len(self.langs)))
-        group: list[tuple[int, bytes]] = []
-        held = 0
-        for i, text in enumerate(texts):
-            for at in range(0, len(text), _PIECE):
-                piece = (text[at - ORDER : at] if at else _PAD) + text[at : at + _PIECE]
-                group.append((i, piece))
-                held += len(piece)
-                if held >= _PIECE:
-                    self._add(group, out)
-                    group, held = [], 0
-        self._add(group, out)
+    """Code lengths in bits of some languages: ``cost[k]`` has a row for each context of order k with a byte seen after it,
+    ``escape[k]`` one for each context of order k, each with a column for each language."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
+        """From counts ``n`` of four bytes ``gram`` in the language number ``lang``."""
+        self.langs, size = langs, len(langs)
+        self.grams: dict[int, Places] = {}
+        self.contexts: dict[int, Places] = {}
+        self.cost: dict[int, np.ndarray] = {}
+        self.escape: dict[int, np.ndarray] = {}
+        counts = np.zeros((256, size))
+        np.add.at(counts, (gram & 255, lang), n)
+        total, kinds = counts.sum(0), (counts > 0).sum(0)
+        rest = np.maximum(256 - kinds, 1) / 256
+        known = np.where(kinds < 256, counts / np.maximum(total + kinds, 1), counts / np.maximum(total, 1))
+        p = np.where(counts > 0, known, kinds / np.maximum(total + kinds, 1) / rest / 256)
+        p = np.where(total > 0, p, 1 / 256)
+        self.cost[0] = -np.log2(p).astype(np.float32)
+        below, below_keys = p, np.arange(256)
+        for k in range(1, ORDER + 1):
+            keys, at = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            counts = np.zeros((len(keys), size))
+            np.add.at(counts, (at, lang), n)
+            shorter = below[np.searchsorted(below_keys, keys & ((1 << 8 * k) - 1))]
+            starts = np.flatnonzero(np.r_[True, (keys[1:] >> 8) != (keys[:-1] >> 8)]) if len(keys) else np.zeros(0, np.int64)
+            add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros((0, size))  # noqa: E731, B023
+            total, kinds = add(counts), add((counts > 0).astype(float))
+            # what the shorter context leaves for bytes that weren't seen here; never 0 in UTF-8, where no byte is 0xFF
+            rest = np.where(kinds < 256, np.maximum(1 - add(np.where(counts > 0, shorter, 0)), 1e-12), 1)
+            weight = np.where(total > 0, kinds / np.maximum(total + kinds, 1) / rest, 1)
+            of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
+            p = np.where(counts > 0, counts / np.maximum(total + np.where(kinds < 256, kinds, 0), 1)[of], weight[of] * shorter)
+            self.grams[k], self.cost[k] = Places(keys), -np.log2(p).astype(np.float32)
+            self.contexts[k], self.escape[k] = Places(keys[starts] >> 8), -np.log2(weight).astype(np.float32)
+            below, below_keys = p, keys
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """The cost of the last byte of each four bytes, by language."""
+        found = self.grams[ORDER].find(grams)
+        out = self.cost[ORDER].take(found, axis=0, mode="clip") if len(self.cost[ORDER]) else np.zeros((len(grams), len(self.langs)), np.float32)
+        left = np.flatnonzero(found < 0)
+        out[left] = 0
+        x = grams[left]
+        for k in range(ORDER, 0, -1):  # escape from the context of order k, then look in the next shorter one
+            if not len(left):
+                break
+            context = self.contexts[k].find(x >> np.uint32(8))
+            known = context >= 0
+            out[left[known]] += self.escape[k][context[known]]
+            x = x & np.uint32((1 << 8 * k) - 1)
+            found = self.grams[k - 1].find(x) if k > 1 else x.astype(np.int32)
+            hit = found >= 0
+            out[left[hit]] += self.cost[k - 1][found[hit]]
+            left, x = left[~hit], x[~hit]
         return out
 
-    def _add(self, group: list[tuple[int, bytes]], out: np.ndarray) -> None:
-        if not group:
-            return
-        x = np.frombuffer(b"".join(p for _, p in group), np.uint8).astype(np.int32)
-        before = (x[:-3] << 16) | (x[1:-2] << 8) | x[2:-1]
-        bits = self.cost[self.node_of[before].astype(np.int32) * 256 + x[3:]]
-        starts = np.cumsum([0, *(len(p) for _, p in group[:-1])])
+
+def code_lengths(trees: list[Trees], texts: list[bytes]) -> np.ndarray:
+    """A row for each text, a column for each language of all ``trees``."""
+    out = np.zeros((len(texts), sum(len(t.langs) for t in trees)))
+    group: list[tuple[int, bytes]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), _PIECE):
+            piece = (text[at - ORDER : at] if at else _PAD) + text[at : at + _PIECE]
+            group.append((i, piece))
+            held += len(piece)
+            if held >= _PIECE:
+                _add(trees, group, out)
+                group, held = [], 0
+    if group:
+        _add(trees, group, out)
+    return out
+
+
+def _add(trees: list[Trees], group: list[tuple[int, bytes]], out: np.ndarray) -> None:
+    x = np.frombuffer(b"".join(p for _, p in group), np.uint8).astype(np.uint32)
+    grams = (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
+    starts = np.cumsum([0, *(len(p) for _, p in group[:-1])])
+    texts = np.array([i for i, _ in group])
+    first = 0
+    for t in trees:
+        bits = t.bits(grams)
         for s in starts[1:]:  # the context of a piece isn't coded
             bits[s - ORDER : s] = 0
         sums = np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
-        np.add.at(out, np.array([i for i, _ in group]), sums)
+        np.add.at(out[:, first : first + len(t.langs)], texts, sums)
+        first += len(t.langs)
 
 
 def _grams(docs: DataFrame) -> DataFrame:
@@ -83,7 +176,10 @@ def _grams(docs: DataFrame) -> DataFrame:
                 texts.setdefault(lang, []).append(_PAD + text.encode())
             for lang, parts in texts.items():
                 x = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-                grams, n = np.unique((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:], return_counts=True)
+                coded = np.ones(len(x) - ORDER, bool)
+                for end in np.cumsum([len(p) for p in parts[:-1]]):  # texts lie side by side: what comes before one isn't coded
+                    coded[end - ORDER : end] = False
+                grams, n = np.unique(((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:])[coded], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
@@ -108,84 +204,50 @@ def sample(docs: DataFrame, rows: int) -> DataFrame:
     return known.join(first, ["doc_id", "lang"], "left_semi")
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -> Trees:
-    """Trees from the labelled rows of ``docs`` whose crc32(doc_id) mod 5 isn't 0."""
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> list[Trees]:
+    """Trees from the labelled rows of ``docs`` whose crc32(doc_id) mod 5 isn't 0, for some languages each."""
     grams = cut(_grams(sample(docs, sample_rows)), "grams")
-    langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
-    n_langs = max(1, len(langs))
-    nodes = max(64, min(nodes, _ENTRIES // (512 * n_langs), 15_000))
-    orders = {}
-    for k in (2, 3):
-        found = grams.select("lang", F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram"), "n").withColumn("ctx", F.shiftright("gram", 8))
-        top = found.groupBy("ctx").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "ctx").limit(nodes).select("ctx")
-        orders[k] = found.join(top, "ctx").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    low = grams.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-
-    number = {lang: i for i, lang in enumerate(langs)}
-    probs = np.empty((256 + 2 * nodes, 256, n_langs))  # for each node: 256 bytes, languages
-
-    def coded(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities in a context (…, byte, language) from its counts and those of the context below."""
-        total, kinds = counts.sum(-2, keepdims=True), (counts > 0).sum(-2, keepdims=True)
-        left = np.where(counts > 0, 0, below)
-        rest = left.sum(-2, keepdims=True)
-        known = counts / np.maximum(total + kinds, 1)
-        escape = np.where(rest > 0, kinds / np.maximum(total + kinds, 1) / np.maximum(rest, 1e-300), 0)
-        return np.where(total > 0, np.where(rest > 0, known + escape * left, counts / np.maximum(total, 1)), below)
-
-    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([number[x] for x in t["lang"].to_pylist()], np.int64), t["gram"].to_numpy(), t["n"].to_numpy()
-
-    one = np.zeros((256, 256, n_langs))
-    lang, gram, n = columns(low)
-    one[gram >> 8, gram & 255, lang] = n
-    zero = coded(one.sum(0), np.full((256, n_langs), 1 / 256))
-    probs[:256] = coded(one, zero[None])
-    node_of = np.arange(256, dtype=np.int16)
-    at = 256
-    for k in (2, 3):
-        lang, gram, n = columns(orders.pop(k))
-        ctx, own = np.unique(gram >> 8, return_inverse=True)
-        by = np.argsort(own, kind="stable")
-        lang, gram, n, own = lang[by], gram[by], n[by], own[by]
-        below = node_of[ctx & ((1 << 8 * (k - 1)) - 1)]
-        step = max(1, _AT_ONCE // (256 * n_langs))
-        for first in range(0, len(ctx), step):  # some contexts at a time: the driver holds one table, not many
-            lo, hi = np.searchsorted(own, [first, first + step])
-            counts = np.zeros((min(step, len(ctx) - first), 256, n_langs))
-            counts[own[lo:hi] - first, gram[lo:hi] & 255, lang[lo:hi]] = n[lo:hi]
-            probs[at + first : at + first + len(counts)] = coded(counts, probs[below[first : first + step]])
-        node_of = np.tile(node_of, 256)
-        node_of[ctx] = np.arange(at, at + len(ctx))
-        at += len(ctx)
-    probs = probs[:at]
-    np.log2(probs, out=probs)
-    np.negative(probs, out=probs)
-    return Trees(langs, node_of, probs.astype(np.float32).reshape(-1, n_langs))
-
-
-def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, nodes: int = NODES) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``."""
+    langs = [r.lang for r in grams.select("lang").distinct().orderBy("lang").limit(max_languages + 1).collect()]
+    if len(langs) > max_languages:
+        raise ValueError(f"more than {max_languages} languages in lang: map labels that are no languages to null, or raise max_languages")
+    out = []
+    for at in range(0, len(langs), _TOGETHER):
+        own = sorted(langs)[at : at + _TOGETHER]
+        found = grams.where(F.col("lang").isin(own)).select((F.array_position(F.lit(own), F.col("lang")) - 1).cast("int").alias("lang"), "gram", "n").toArrow()
+        out.append(Trees(own, *(found[c].to_numpy() for c in ("lang", "gram", "n"))))
+    return out
+
+
+def predictor(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES):
+    """A function of a text column: struct<lang_pred string, score double>, learned from ``docs``."""
     small_batches(docs.sparkSession)
-    trees = learn(docs, sample_rows, nodes)
-    sent = docs.sparkSession.sparkContext.broadcast((trees.langs, trees.node_of, trees.cost))
+    trees = learn(docs, sample_rows, max_languages)
+    sent = docs.sparkSession.sparkContext.broadcast(trees)
+    names = np.array([*(x for t in trees for x in t.langs), UNKNOWN], object)
     letter = regex.compile(r"\p{L}").search
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trees(*sent.value)
-        names = np.array([*own.langs, UNKNOWN], object)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = [t if t is not None and letter(t) else "" for t in part.column(2).to_pylist()]
-                pick, score = np.full(len(texts), len(own.langs)), np.zeros(len(texts))
-                some = np.array([bool(t) for t in texts])
-                if own.langs and some.any():
-                    bits = own.code_lengths([t.encode() for t in texts if t])
-                    best = bits.argmin(1)
-                    pick[some] = best
-                    score[some] = 1 / np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000)).sum(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[pick], pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    def judge(column: pa.Array) -> pa.Array:
+        texts = [t.encode() if t is not None and letter(t) else b"" for t in column.to_pylist()]
+        pick, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+        some = np.array([bool(t) for t in texts], bool)
+        if len(names) > 1 and some.any():
+            bits = code_lengths(sent.value, [t for t in texts if t])
+            best = bits.argmin(1)
+            pick[some] = best
+            score[some] = 1 / np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000)).sum(1)
+        return pa.StructArray.from_arrays([pa.array(names[pick], pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = [judge(column.slice(at, 1024)) for at in range(0, len(column), 1024)]
+            yield pa.concat_arrays(parts) if parts else judge(column)
+
+    return lambda text: predict(text.cast("string"))
+
+
+def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row of ``docs``."""
+    predict = predictor(docs, sample_rows, max_languages)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), predict(F.col("text")).alias("v"))
+    return read.select("doc_id", "held_out", "v.lang_pred", "v.score")

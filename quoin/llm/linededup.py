@@ -3,10 +3,14 @@
 Lines are exploded as 16-byte hashes of their normalised form, distinct documents are counted for each hash, lines
 over the threshold go, and each document is put together again by position.
 
-Scale: only hashes are shuffled to count; partial sums come first, so a line in a third of all documents costs one row
-a task. The shared lines are written before hash rows meet them: Spark then knows their size, broadcasts them if they are
-few, and else can split a skewed key, which it can't while one side comes straight from an aggregate. Texts are shuffled
-once, by doc_id, to meet their own doomed hashes.
+Rows are first written in place (``common.placed``), and the lines of a file are numbered through. What the threshold
+dooms is then a set of line numbers, which goes back to its file as a bitmap, and each text is put together from the lines
+that aren't marked there.
+
+Scale: texts are written once and never shuffled; hashes of lines and bitmaps are. Partial sums come first, so a line in a
+third of all documents costs one row a task. The shared lines are written before hash rows meet them: Spark then knows
+their size, broadcasts them if they are few, and else can split a skewed key, which it can't while one side comes straight
+from an aggregate.
 
 Edge cases: null or empty text is one empty line; rows that share a doc_id are one document; a null doc_id counts as
 one document that is smaller than any other.
@@ -17,12 +21,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, id_and_text
+from .common import BLANKS, cut, id_and_text, marked, placed, with_marks
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -34,67 +38,69 @@ def line_key(line: bytes) -> bytes:
     return line.strip(BLANKS).lower()
 
 
-def _hashes(text: str | None, min_chars: int) -> list[bytes | None]:
-    """For each line the hash of its key, or None if the key is short."""
-    out: list[bytes | None] = []
-    for line in (text or "").encode().split(b"\n"):
-        key = line_key(line)
-        long = len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode()) >= min_chars)
-        out.append(hashlib.sha256(key).digest()[:16] if long else None)
-    return out
+def line_hash(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
+    """The hash of a line's key, or None if the key is short."""
+    key = line_key(line)
+    if len(key) < min_chars or len(key) < 4 * min_chars and len(key.decode()) < min_chars:
+        return None
+    return hashlib.sha256(key).digest()[:16]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written in place, with ``__line``: how many lines the rows before it in its file have."""
+
+    @F.arrow_udf("long")
+    def before(sizes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        total = 0  # a task's rows come in order, in one iterator
+        for batch in sizes:
+            n = batch.to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.array(total + np.cumsum(n) - n)
+            total += int(n.sum())
+
+    return placed(docs.withColumn("__line", before(F.size(_lines(F.col("text"))).cast("long"))), "lines")
 
 
-def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, doomed: for each document that loses lines, the hashes of the keys it loses."""
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
+
+
+def shared_lines(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """__file, __mark: numbers, in their files, of the lines that go from ``rows`` (as ``numbered`` gives them)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids, found = [], []
-                for i, t in zip(batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512).to_pylist()):
-                    own = {h for h in _hashes(t, min_chars) if h}
-                    ids += [NO_ID if i is None else i] * len(own)
-                    found += own
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "key"])
-
-    lines = cut(id_and_text(docs).mapInArrow(keys, "doc_id long, key binary"), "lines")
+                part = batch.slice(at, 512)
+                cols: list[list] = [[], [], [], []]
+                for i, text, file, line in zip(*(c.to_pylist() for c in part.columns)):
+                    own: dict[bytes, list[int]] = {}
+                    for n, x in enumerate((text or "").encode().split(b"\n"), line):
+                        if (h := line_hash(x, min_chars)) is not None:
+                            own.setdefault(h, []).append(n)
+                    for c, values in zip(cols, ([NO_ID if i is None else i] * len(own), own.keys(), [file] * len(own), own.values())):
+                        c.extend(values)
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "key", "__file", "__marks"])
+
+    lines = cut(id_and_text(rows, keep=("__file", "__line")).mapInArrow(keys, "doc_id long, key binary, __file int, __marks array<long>"), "line-hashes")
     counts = lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     common = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper"), "common-lines")
-    lost = lines.join(common, "key").where("doc_id < keeper")
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("doomed"))
-
+    return lines.join(common, "key").where("doc_id < keeper").select("__file", F.explode("__marks").alias("__mark"))
 
-def _rebuild(text: str | None, doomed: list[bytes] | None, min_chars: int) -> tuple[str, int, int]:
-    """The text of the lines that stay, in order; the number of lines, and of those that go."""
-    lines = (text or "").split("\n")
-    if not doomed:
-        return text or "", len(lines), 0
-    gone = set(doomed)
-    stay = [x for x, h in zip(lines, _hashes(text, min_chars)) if h not in gone]
-    return "\n".join(stay), len(lines), len(lines) - len(stay)
 
-
-def rebuilt(text: Column, doomed: Column, min_chars: int = MIN_CHARS) -> Column:
-    """The text without its doomed lines."""
-
-    @F.pandas_udf("string")
-    def kept(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([_rebuild(t, list(k) if k is not None else None, min_chars)[0] for t, k in zip(texts, keys)], dtype=object)
-
-    return kept(text, doomed)
+def without_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Every row of ``docs`` as it is, with __text (the text of the lines that stay), __n_lines (before), __n_dropped."""
+    rows = numbered(docs)
+    found = with_marks(rows, shared_lines(rows, min_chars, min_docs))
+    lines = _lines(F.col("text"))
+    stay = F.filter(lines, lambda _, i: ~marked(F.col("__marks"), F.col("__line") + i))
+    found = found.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__kept", F.when(F.col("__marks").isNotNull(), stay))
+    found = found.withColumn("__text", F.coalesce(F.array_join("__kept", "\n"), F.col("text").cast("string"), F.lit("")))
+    found = found.withColumn("__n_dropped", F.col("__n_lines") - F.coalesce(F.size("__kept"), F.col("__n_lines")))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), "__text", "__n_lines", "__n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, kept_text, n_lines (before), n_dropped for every row of ``docs``."""
-    doomed = shared_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "lost_id")
-    joined = id_and_text(docs).join(doomed, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("lost_id"), "left")
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [_rebuild(t, k, min_chars) for t, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "kept_text", "n_lines", "n_dropped"])
-
-    return joined.select("doc_id", "text", "doomed").mapInArrow(rebuild, "doc_id long, kept_text string, n_lines long, n_dropped long")
+    found = without_shared_lines(id_and_text(docs), min_chars, min_docs)
+    return found.select("doc_id", F.col("__text").alias("kept_text"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))

@@ -73,15 +73,16 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row of ``docs``; no shuffle."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and the columns ``keep`` for every row of ``docs``; no shuffle."""
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t, k) for t in _texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs, keep=keep).mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} {kinds[c]}" for c in keep)]))
 
 
 def _texts(column: pa.Array) -> Iterator[str | None]:
@@ -211,7 +212,7 @@ def links(distinct: DataFrame, blocks: int = BLOCKS, cell: int = CELL) -> DataFr
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """u, v: each node of ``edges`` that isn't its component's smallest, with that smallest node."""
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
+    state, before = None, None
     for _ in range(rounds):
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
@@ -226,12 +227,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of ``docs``."""
-    fps = cut(fingerprints(docs, k), "fingerprints")
+def grouped(docs: DataFrame, k: int = SHINGLE, blocks: int = BLOCKS, cell: int = CELL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component), component_id and the columns ``keep`` for every row."""
+    fps = cut(fingerprints(docs, k, keep), "fingerprints")
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     stars = components(links(nodes.select("fp"), blocks, cell))
     rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = cut(rooted.join(names, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(rooted.join(names, "root").select("fp", "root", "component_id"), "classes")
+    return fps.join(classes, "fp").select("doc_id", "fp", "root", "component_id", *keep)
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of ``docs``."""
+    return grouped(docs, k, blocks, cell).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def copies(rows: DataFrame, **options) -> DataFrame:
+    """__file, __at of the rows of a ``placed`` table that go: of each group of near duplicates one row stays, that with the
+    smallest doc_id (null ids last), and of rows that repeat this id the first in place."""
+    own = cut(grouped(rows, keep=("__file", "__at"), **options), "groups")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__at")).alias("x"))
+    return own.select("__file", "__at").join(first.select("x.__file", "x.__at"), ["__file", "__at"], "left_anti")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -12,9 +13,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quoin.llm import bpe, decontam, langid, license, linededup, lm, quality, simhash, tokencount, warc
+from quoin.llm import bpe, common, decontam, langid, license, linededup, lm, quality, simhash, tokencount, warc
 
 SCHEMA = "doc_id long, text string, lang string, fp string, component_id string, n long, word string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -223,6 +225,11 @@ def test_decontamination(spark, docs, rows, block_words):
     same(decontam.contamination(docs, bench, block_words=block_words), want)
 
 
+def test_decontamination_without_a_benchmark(spark):
+    texts = spark.createDataFrame([(1, "zero one"), (None, None)], "doc_id long, text string")
+    same(decontam.contamination(texts, None), [(1, 2, [], []), (None, 0, [], [])])
+
+
 @pytest.mark.parametrize("block_words", [10**6, 2])
 def test_decontamination_by_items_without_id(spark, block_words):
     bench = spark.createDataFrame([(None, "one two three"), (4, "two three"), (None, None)], "item_id long, text string")
@@ -328,6 +335,26 @@ def test_line_dedup(docs, rows):
     same(linededup.dedup_lines(docs), want)
 
 
+def test_marks_find_their_rows(spark):
+    docs = spark.range(0, 90_000, 1, 2).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = common.placed(docs)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    gone = rows.where("pmod(hash(doc_id), 3) = 0").select("__file", "__at")
+    left = common.without(rows, gone)
+    assert "SortMergeJoin" not in plan(left) and plan(left).count("Exchange") == 1  # the marks'
+    same(left.select("doc_id"), [tuple(r) for r in docs.where("pmod(hash(doc_id), 3) <> 0").select("doc_id").collect()])
+    assert common.without(rows, gone.limit(0)).count() == 90_000
+
+
+def test_scratch_is_deleted(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with common.scratch():
+        rows = common.placed(docs)
+        kept = [rows.inputFiles()[0], common.cut(docs, "x").inputFiles()[0]]
+        assert all(os.path.exists(f.removeprefix("file://")) for f in kept)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in kept)
+
+
 def test_language(docs, rows):
     got = langid.identify(docs).collect()
     assert len(got) == len(rows)
@@ -342,16 +369,49 @@ def test_language(docs, rows):
     assert held and sum(g.lang_pred == truth[g.doc_id] for g in held) >= 0.9 * len(held)
 
 
-def test_language_code_lengths_are_exact(docs):
-    """Against a direct walk down the contexts with the same counts, and against Kraft's sum."""
-    trees = langid.learn(docs)
-    p = np.exp2(-trees.cost.reshape(-1, 256, len(trees.langs)).astype(float))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    text = "ta soing é".encode()
-    padded = b"   " + text
-    want = [sum(trees.cost[int(trees.node_of[int.from_bytes(padded[i : i + 3], "big")]) * 256 + padded[i + 3], k] for i in range(len(text))) for k in range(len(trees.langs))]
-    got = trees.code_lengths([text, b"", text * 70_000])
-    assert np.allclose(got[0], want, rtol=1e-5) and not got[1].any() and got[2].min() > 0
+def brute_distribution(texts, context, order=3):
+    """Probabilities of all bytes after ``context``, from raw texts: counts, escapes and exclusion by the book."""
+    below = [1 / 256] * 256
+    for k in range(order + 1):
+        seen = collections.Counter()
+        for t in texts:
+            padded = b"   " + t
+            for i in range(3, len(padded)):
+                if padded[i - k : i] == context[len(context) - k :]:
+                    seen[padded[i]] += 1
+        if seen:
+            total, kinds = sum(seen.values()), len(seen)
+            left = sum(below[b] for b in range(256) if b not in seen)
+            below = [seen[b] / (total + kinds) if b in seen else kinds / (total + kinds) * below[b] / left for b in range(256)]
+    return below
+
+
+def test_language_code_lengths_are_exact(spark):
+    """Against escapes and exclusion worked out from raw texts, in more languages than are coded together."""
+    rnd = random.Random(4)
+    langs = [f"l{i:02}" for i in range(11)]
+    texts = {x: ["".join(rnd.choice("abé 日"[: 2 + i % 4] + x) for _ in range(60)) for _ in range(3)] for i, x in enumerate(langs)}
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(free.pop(), t, x) for x in langs for t in texts[x]]
+    trees = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [x for t in trees for x in t.langs] == langs and len(trees) == 2
+    for text in (texts["l03"][0][:25], "zq\u0416 new", ""):
+        data = text.encode()
+        got = langid.code_lengths(trees, [b"other", data])[1]
+        for x, bits in zip(langs, got):
+            raw = [t.encode() for t in texts[x]]
+            want = sum(-math.log2(brute_distribution(raw, (b"   " + data)[i : i + 3])[data[i]]) for i in range(len(data)))
+            assert math.isclose(bits, want, rel_tol=1e-5, abs_tol=1e-9)
+    long = (texts["l05"][0] * 9_000).encode()  # more than one piece
+    whole = langid.code_lengths(trees, [long, long[:-1], long[-4:]])
+    assert len(long) > langid._PIECE and np.allclose(whole[0] - whole[1], langid.code_lengths(trees, [long[-4:]])[0] - langid.code_lengths(trees, [long[-4:-1]])[0], atol=1e-2)
+
+
+def test_language_many_labels(spark):
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame([(i, "some text", f"label {i}") for i in free[:20]], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 12 languages"):
+        langid.learn(df, max_languages=12)
 
 
 def test_warc(spark, tmp_path):
