@@ -9,10 +9,14 @@ once that many bytes have been read past its end; what is kept is a window of th
 
 Decoding. Token bytes go through an incremental UTF-8 state machine, which holds at most an unfinished character.
 
-Most pre-tokens repeat; a worker keeps a bounded cache of their encodings, and clears it when it is full.
-
-Scale: no shuffle at all; a worker holds the merge list, the caches and one Arrow batch. Edge cases: null is empty text
-and has no tokens; special strings in a text become their own ids, as the tokenizer file asks.
+A text comes in parts. Its pre-tokens and special strings are found in a window: what could still change with the next
+part waits, and of a pre-token that outgrows the window all but its end goes to the transducer at once. Tokens leave as they
+become stable, to the digest and the decoder. Most pre-tokens repeat; a worker keeps a bounded cache of their encodings,
+and clears it when it is full.
+
+Scale: no shuffle at all; a worker holds the merge list, the caches, one Arrow batch and a window. Edge cases: null is empty
+text and has no tokens; special strings in a text become their own ids, as the tokenizer file asks; a very long text, be
+it one pre-token, takes no more memory than the batch it comes in; rows that repeat an id are encoded each.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +46,9 @@ LATIN_PRE_TOKEN = rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N
 _CACHE_WORDS = 150_000
 _CACHE_PAIRS = 150_000
 _CACHED_BYTES = 64
+#: Bytes that are decoded from a batch at once, and characters of a pre-token beyond which it isn't held.
+_PART = 1 << 16
+_LONG = 1 << 12
 
 
 def byte_letters() -> dict[str, int]:
@@ -213,7 +220,7 @@ class Decoder:
         self.bytes_of = bytes_of
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int], final: bool = False) -> str:
+    def feed(self, ids: Iterable[int], final: bool = False) -> str:
         return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)), final)
 
 
@@ -227,7 +234,7 @@ class Cache(dict):
         data = word.encode()
         encoder = Encoder(self.merges)
         ids = encoder.feed(data) + encoder.close()
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = _packed(ids)
         if len(data) <= _CACHED_BYTES:
             if len(self) >= _CACHE_WORDS:
                 self.clear()
@@ -254,7 +261,7 @@ class Codec:
         for text, i in self.special.items():
             self.bytes_of[i] = text.encode()
         self._find, self._latin = regex.compile(PRE_TOKEN).findall, re.compile(LATIN_PRE_TOKEN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.cache = Cache(self.merges)
 
     def find(self, text: str) -> list[str]:
@@ -265,19 +272,35 @@ class Codec:
             return self._find(text)
         return self._latin(text)
 
+    def stream(self, parts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of a text that comes in parts, as little-endian 32-bit integers, as soon as they are sure."""
+        run = Run(self)
+        hold = max(map(len, self.special), default=1) - 1
+        held = ""
+        for part in parts:
+            held += part
+            while self.cut and (found := self.cut.search(held)):
+                yield from run.take(held[: found.start()], True)
+                yield self.special[found[0]].to_bytes(4, "little")
+                held = held[found.end() :]
+            sure = max(0, len(held) - hold)  # the rest may begin a special string
+            yield from run.take(held[:sure], False)
+            held = held[sure:]
+        yield from run.take(held, True)
+
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if not self.cut or not any(s in text for s in self.special):
-            return b"".join(map(self.cache.__getitem__, self.find(text)))
-        out = []
-        for part in self.cut(text):
-            if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-            else:
-                out.extend(map(self.cache.__getitem__, self.find(part)))
-        return b"".join(out)
+        """The ids of a whole text."""
+        return b"".join(self.stream([text or ""]))
+
+    def digests(self, parts: Iterable[str]) -> tuple[int, str, str]:
+        """The number of tokens, and the digests of the ids and of the decoded text."""
+        n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.bytes_of)
+        for ids in self.stream(parts):
+            n += len(ids) // 4
+            ids_sha.update(ids)
+            text_sha.update(decoder.feed(struct.unpack(f"<{len(ids) // 4}I", ids)).encode())
+        text_sha.update(decoder.feed([], True).encode())
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
     def decode(self, ids: bytes) -> Iterator[str]:
         """Pieces of the text, each from a bounded number of tokens."""
@@ -288,6 +311,71 @@ class Codec:
         yield decoder.feed([], True)
 
 
+class Run:
+    """Cuts a stretch between special strings into pre-tokens, as its text comes."""
+
+    #: What goes on with a letter, a number, white space, and anything else.
+    KINDS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+")]
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.left = codec, ""
+        self.open: tuple[Encoder, regex.Pattern] | None = None  # a pre-token under way, and what goes on with it
+
+    def take(self, text: str, last: bool) -> Iterator[bytes]:
+        """Reads on; ``last`` says that the stretch ends here."""
+        text, self.left = self.left + text, ""
+        if self.open:
+            text = yield from self._go_on(text, last)
+        if not text:
+            return
+        cache = self.codec.cache
+        words = self.codec.find(text)
+        if not last:  # a contraction has three characters: a match that ends within two of the end isn't sure
+            kept = len(text)
+            while words and kept > len(text) - 2:
+                kept -= len(words.pop())
+            self.left = text[kept:]
+        if words:
+            yield b"".join(map(cache.__getitem__, words))
+        if len(self.left) > _LONG and not last:
+            head, text = self.left[:1], self.left
+            first = text[1] if head == " " and not text[1].isspace() else head
+            kind = next(k for k in self.KINDS if k.match(first))
+            n = 0 if kind is self.KINDS[2] or first == head else 1
+            self.open, self.left = (Encoder(self.codec.merges), kind), ""
+            yield _packed(self.open[0].feed(text[:n].encode()))
+            self.left = (yield from self._go_on(text[n:], False)) or self.left
+
+    def _go_on(self, text: str, last: bool) -> Iterator[bytes]:
+        """Feeds what belongs to the pre-token under way; the rest is returned."""
+        encoder, kind = self.open
+        found = kind.match(text)
+        n = found.end() if found else 0
+        ends = last or n < len(text)
+        if kind is self.KINDS[2] and n and not (last and n == len(text)):
+            n -= 1  # the last blank before a word isn't the run's
+        out = encoder.feed(text[:n].encode())
+        if ends:
+            out += encoder.close()
+            self.open = None
+        yield _packed(out)
+        if ends:
+            return text[n:]
+        self.left = text[n:]
+        return ""
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def parts_of(data: pa.Buffer) -> Iterator[str]:
+    """Text from UTF-8, some bytes at a time."""
+    machine, view = codecs.getincrementaldecoder("utf-8")(), memoryview(data)
+    for at in range(0, len(view), _PART):
+        yield machine.decode(view[at : at + _PART], at + _PART >= len(view))
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -309,22 +397,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encode``, with digests taken where the tokens are made."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: as ``encode``, with digests taken as the tokens leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n, ids_sha, text_sha = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = c.encode(text)
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    digest = hashlib.sha256()
-                    for piece in c.decode(ids):
-                        digest.update(piece.encode())
-                    text_sha.append(digest.hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows = [c.digests(parts_of(x.as_buffer()) if x.is_valid else ()) for x in part.column(1)]
+                cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

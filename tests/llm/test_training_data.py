@@ -7,10 +7,12 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,6 +190,33 @@ def test_bpe_streams_with_bounded_window():
         assert out + encoder.close() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_of_texts_in_parts(monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    codec, tok = bpe.codec(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "_LONG", 6)
+    rnd = random.Random(3)
+    pools = ["ab c'", " \n\t ", "'re've'll", "12½", "!?'", "日本é🎉", ["<|endoftext|>", "<|endof"], "a", " "]
+    for _ in range(1500):
+        pool = rnd.sample(pools, rnd.randint(1, 3))
+        text = "".join(rnd.choice(rnd.choice(pool)) for _ in range(rnd.randint(0, 60)))
+        cuts = sorted(rnd.randint(0, len(text)) for _ in range(rnd.randint(0, 12)))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(codec.stream(parts)), "<u4").tolist() == ids, repr((text, parts))
+
+
+def test_bpe_holds_a_window_of_a_long_text():
+    codec = bpe.codec(P.path("byte_bpe_50k.json"))
+    codec.digests(["warm it up, é"])
+    for text in ("A word, “another”; and so on\n" * 200_000, "x" * 1_000_000):
+        data = pa.py_buffer(text.encode())
+        tracemalloc.start()
+        n, _, decoded = codec.digests(bpe.parts_of(data))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert decoded == hashlib.sha256(data).hexdigest() and n > 1000 and most < 8 << 20
+
+
 def test_bpe_decoder_waits_for_whole_characters():
     codec = bpe.codec(P.path("byte_bpe_50k.json"))
     decoder = bpe.Decoder(codec.bytes_of)
@@ -203,6 +232,20 @@ def test_token_counts(docs, rows):
     same(tokencount.count_tokens(docs, path, sample_rows=3, table_words=5, cache_words=7), want)
 
 
+def test_token_counts_of_any_script_meet_the_tiers():
+    path = P.path("word_bpe_49k.json")
+    tok, counter = Tokenizer.from_file(path), tokencount.TokenCounter(path, {"日本": 1000})
+    rnd = random.Random(1)
+    pools = ["abcXYZ '’s’t’re“”—…  \n\t", "日本語テキスト中文", "ПриветΣΑςσ İıǰJ\u030cǄ", "e\u0301éàǖ ﬁẞ \xa0\u2003\u3000", "🎉👩\u200d👩ا ل ع ر ب ي ه๑ᛰⅧ½²", ["<|endoftext|>", " <|startoftext|>xé"]]
+    for _ in range(1500):
+        text = "".join(rnd.choice(rnd.choice(pools)) if rnd.random() < 0.8 else chr(rnd.choice([rnd.randrange(32, 0xD7FF), rnd.randrange(0x10000, 0x1FFFF)])) for _ in range(rnd.randint(0, 40)))
+        if "日本" not in text:
+            assert counter.count(text) == len(tok.encode(text, add_special_tokens=False).ids), repr(text)
+    assert counter.count("x 日本 “日本”") == 2003 + counter.counts["“"] + counter.counts["”"] - 2  # the broadcast tier is asked for every script
+    long = "Ein «langer» Text… " * 20_000
+    assert len(list(counter.pre_tokens(long))) > 3 and counter.count(long) == len(tok.encode(long, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("block_words", [10**6, 12])
 def test_decontamination(spark, docs, rows, block_words):
     long = decontam.words(rows[8][1])
