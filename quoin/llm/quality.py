@@ -1,13 +1,20 @@
 """Quality rules: repetition inside a document from its suffix array, beside simple counts.
 
 The words of many documents lie side by side in one array, numbered apart by document so that nothing matches across
-them. Prefix doubling sorts the suffixes; the ranks of each doubling give the longest common prefix of neighbours by
-descending powers of two. A suffix whose longest common prefix with a neighbour is ``n`` starts a maximal repeated
-substring of ``n`` words; the spans of those of at least ``MIN_REPEAT`` words are united. Their share of the document
-and the longest repeat are limited.
-
-Scale: one pass, no shuffle. Arrays hold about ``CHUNK_WORDS`` words, or one document if it is longer.
-Edge cases: null or blank text has no words and fails for having under ``MIN_WORDS``.
+them. Prefix doubling sorts the suffixes, two rankings at a time. Longest common prefixes of neighbours come from the text
+order: a suffix whose neighbour continues the neighbour of the suffix before it has one word less in common, so only the
+others are compared word by word, and these comparisons sum up to n log n. A run of neighbours with at least ``n`` words in
+common is an interval: one substring of ``n`` words with all its places. The longest common prefix of a suffix with a
+neighbour is a maximal repeated substring from there.
+
+The verdict, beside the base rules: the spans of repeats of at least n words, united, cover at most ``COVERED[n]`` percent
+of the words; a single substring of n words makes up at most ``MOST[n]`` percent, all its places together; and no repeat is
+longer than ``max_longest`` words. A document under ``VERDICT_WORDS`` words is judged by the base rules only, as two places
+of one phrase are a large part of it.
+
+Scale: one pass, no shuffle. Arrays hold about ``CHUNK_WORDS`` words, or one document if it is longer (some 100 bytes a
+word). Edge cases: null or blank text has no words and fails for having under ``MIN_WORDS``; rows that repeat an id are
+judged each.
 """
 
 from __future__ import annotations
@@ -22,24 +29,24 @@ from .common import BLANKS, id_and_text
 
 MIN_WORDS = 10
 MIN_REPEAT = 5
-#: Largest share of words in repeats, in percent, and longest repeat in words.
+#: Largest share of words in repeats of MIN_REPEAT words and more, in percent, by contract.
 MAX_COVERED = 20
+#: Longest repeat in words.
 MAX_LONGEST = 100
+#: Largest shares in percent, by words of the repeat: all repeats united, and the places of a single one.
+COVERED = {6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+MOST = {2: 20, 3: 18, 4: 16}
+VERDICT_WORDS = 50
 CHUNK_WORDS = 1 << 18
 SYMBOLS = b"#*$%&|<>"
 
 
-def repeats(ids: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each place, the most words from there that occur elsewhere in the same document too.
-
-    ``ids`` numbers the words, ``docs`` the documents, ascending.
-    """
-    n = len(ids)
-    if n < 2:
-        return np.zeros(n, np.int64)
-    _, rank, size = np.unique((docs.astype(np.int64) << 32) | ids, return_inverse=True, return_counts=True)
+def suffix_array(words: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in order. ``words`` are numbers."""
+    n = len(words)
+    _, rank, size = np.unique(words, return_inverse=True, return_counts=True)
     rank = (np.cumsum(size) - size)[rank]  # a group's rank is the place of its first member in sorted order
-    levels, k = [rank], 1
+    k = 1
     active = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
     while len(active):
         after = active + k
@@ -53,29 +60,88 @@ def repeats(ids: np.ndarray, docs: np.ndarray) -> np.ndarray:
         part_start = np.maximum.accumulate(np.where(new_part, at, 0))
         rank = rank.copy()
         rank[a] = r + part_start - group_start
-        levels.append(rank)
         k *= 2
         sizes = np.bincount(np.cumsum(new_part) - 1)
         active = a[(sizes > 1)[np.cumsum(new_part) - 1]]
     suffixes = np.empty(n, np.int64)
     suffixes[rank] = np.arange(n)
-    a, b = suffixes[:-1].copy(), suffixes[1:].copy()
-    lcp = np.zeros(n - 1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        ranks = np.append(levels[level], -1)
-        same = (ranks[np.minimum(a, n)] == ranks[np.minimum(b, n)]) & (a < n) & (b < n)
-        step = same * (1 << level)
-        lcp += step
-        a += step
-        b += step
+    return suffixes
+
+
+def common_prefixes(words: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """For each suffix in order the words that it shares with the one before it (0 for the first)."""
+    n = len(words)
+    before = np.full(n, -1, np.int64)  # by place: the suffix before this one in order
+    before[suffixes[1:]] = suffixes[:-1]
+    place = np.arange(n)
+    some = before >= 0
+    # where the words in front agree too, the suffix in front has one word more in common: nothing to compare
+    follows = np.zeros(n, bool)
+    inner = np.flatnonzero(some & (place > 0) & (before > 0))
+    follows[inner] = words[inner - 1] == words[before[inner] - 1]
+    length = np.zeros(n, np.int64)
+    x = np.flatnonzero(some & ~follows)
+    y, step = before[x], 0
+    while len(x) and step < 64:
+        fits = np.maximum(x, y) + step < n
+        x, y = x[fits], y[fits]
+        same = words[x + step] == words[y + step]
+        x, y = x[same], y[same]
+        length[x] += 1
+        step += 1
+    for a, b in zip(x.tolist(), y.tolist()):  # few are this long: stretches of growing size
+        m, size = step, 256
+        while True:
+            p, q = words[a + m : a + m + size], words[b + m : b + m + size]
+            p, q = p[: len(q)], q[: len(p)]
+            off = np.flatnonzero(p != q)
+            m += int(off[0]) if len(off) else len(p)
+            if len(off) or len(p) < size:
+                break
+            size = min(4 * size, 1 << 20)
+        length[a] = m
+    start = np.maximum.accumulate(np.where(~follows, place, 0))
+    return np.maximum(length[start] - (place - start), 0)[suffixes]
+
+
+def repeats(ids: np.ndarray, docs: np.ndarray, sizes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each place, the most words from there that occur elsewhere in the same document too; and for each of ``sizes``
+    how often the substring of so many words that is most frequent in a document occurs there, by document (0 for none
+    that repeats).
+
+    ``ids`` numbers the words, ``docs`` the documents, ascending.
+    """
+    n = len(ids)
+    last = int(docs[-1]) + 1 if n else 0
+    if n < 2:
+        return np.zeros(n, np.int64), [np.zeros(last, np.int64) for _ in sizes]
+    words = (docs.astype(np.int64) << 32) | ids
+    suffixes = suffix_array(words)
+    shared = common_prefixes(words, suffixes)
     out = np.zeros(n, np.int64)
-    out[suffixes[:-1]] = lcp
-    out[suffixes[1:]] = np.maximum(out[suffixes[1:]], lcp)
-    return out
+    out[suffixes] = np.maximum(shared, np.r_[shared[1:], 0])
+    most = []
+    for size in sizes:
+        interval = np.cumsum(shared < size) - 1
+        times = np.bincount(interval)
+        first = np.flatnonzero(shared < size)
+        top = np.zeros(last, np.int64)
+        np.maximum.at(top, docs[suffixes[first]], np.where(times > 1, times, 0))
+        most.append(top)
+    return out, most
+
+
+def _covered(reach: np.ndarray, docs: np.ndarray, least: int, n_docs: int) -> np.ndarray:
+    """By document, the words in repeats of at least ``least`` words."""
+    marks = np.zeros(len(reach) + 1, np.int64)
+    starts = np.flatnonzero(reach >= least)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, starts + reach[starts], -1)
+    return np.bincount(docs, weights=np.cumsum(marks)[: len(reach)] > 0, minlength=n_docs).astype(np.int64)
 
 
 def _measure(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """The figures of some texts."""
+    """The figures of some texts, and ``repetitive``: whether one of the limits by length is passed."""
     numbers: dict[bytes, int] = {}
     n_words, chars, symbols, dup_lines = [], [], [], []
     ids: list[int] = []
@@ -93,18 +159,20 @@ def _measure(texts: list[str | None]) -> dict[str, np.ndarray]:
                 seen.add(line)
         dup_lines.append(dups)
     sizes = np.array(n_words, np.int64)
-    docs = np.repeat(np.arange(len(sizes)), sizes)
-    reach = repeats(np.array(ids, np.int64), docs)
-    far = np.where(reach >= MIN_REPEAT, reach, 0)
-    n = len(reach)
-    marks = np.zeros(n + 1, np.int64)
-    starts = np.flatnonzero(far)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, starts + far[starts], -1)
-    covered = np.bincount(docs, weights=np.cumsum(marks)[:n] > 0, minlength=len(sizes)).astype(np.int64)
-    longest = np.zeros(len(sizes), np.int64)
+    n = len(sizes)
+    docs = np.repeat(np.arange(n), sizes)
+    reach, most = repeats(np.array(ids, np.int64), docs, tuple(MOST))
+    longest = np.zeros(n, np.int64)
     np.maximum.at(longest, docs, reach)
-    return {"n_words": sizes, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dup_lines, np.int64), "n_repeat_words": covered, "longest_repeat": longest}
+    over = np.zeros(n, bool)
+    for least, share in COVERED.items():
+        over |= 100 * _covered(reach, docs, least, n) > share * sizes
+    for (size, share), top in zip(MOST.items(), most):
+        over |= 100 * size * np.pad(top, (0, n - len(top))) > share * sizes
+    return {
+        "n_words": sizes, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(dup_lines, np.int64),
+        "n_repeat_words": _covered(reach, docs, MIN_REPEAT, n), "longest_repeat": longest, "repetitive": over & (sizes >= VERDICT_WORDS),
+    }
 
 
 def measured(texts: list[str | None]) -> Iterator[dict[str, np.ndarray]]:
@@ -130,7 +198,7 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: int = MAX_
                 for m in measured(part.column(1).to_pylist()):
                     size = len(m["n_words"])
                     failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_covered * m["n_words"])
-                    kept = ~failed & (m["longest_repeat"] <= max_longest)
+                    kept = ~failed & ~m.pop("repetitive") & (m["longest_repeat"] <= max_longest)
                     cols = m | {"base_failed": failed, "kept": kept}
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(done, size), *map(pa.array, cols.values())], names=["doc_id", *cols])
                     done += size

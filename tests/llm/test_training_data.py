@@ -1,6 +1,7 @@
 """Each training-data operator against a plain version of its contract, on small tables with awkward rows."""
 
 import collections
+import gzip
 import hashlib
 import itertools
 import math
@@ -337,22 +338,56 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality(docs, rows):
+def brute_verdict(text):
+    """Whether the method keeps a text that passes the base rules, from all its substrings."""
+    words = WORD.findall(text or "")
+    n, grams = len(words), {}
+
+    def places(size):
+        if size not in grams:
+            grams[size] = collections.defaultdict(list)
+            for i in range(n - size + 1):
+                grams[size][tuple(words[i : i + size])].append(i)
+        return [p for p in grams[size].values() if len(p) > 1]
+
+    if places(101):
+        return False
+    if n < 50:
+        return True
+    for size, share in ((6, 14), (7, 13), (8, 12), (9, 11), (10, 10)):
+        if 100 * len({j for p in places(size) for i in p for j in range(i, i + size)}) > share * n:
+            return False
+    return all(100 * size * len(p) <= share * n for size, share in ((2, 20), (3, 18), (4, 16)) for p in places(size))
+
+
+def test_quality(spark, docs, rows):
+    rnd = random.Random(12)
+    fresh = lambda n: [f"w{rnd.getrandbits(40)}" for _ in range(n)]
+    long = fresh(101)
+    planted = {
+        "phrase": sum((["buy", "it", "now", *fresh(9)] for _ in range(30)), []), "pair": sum((["click", "here", *fresh(6)] for _ in range(30)), []), "line": (x := fresh(9)) + fresh(60) + x + fresh(30),
+        "long": long + fresh(2400) + long, "hundred": long[:100] + fresh(2400) + long[:100], "plain": fresh(300), "few": (y := fresh(4)) + fresh(30) + y,
+    }
+    texts = {1000 + i: " ".join(w) for i, w in enumerate(planted.values())}
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     want = []
-    for r in rows:
-        b = brute_quality(r[1])
-        want.append((r[0], *b, b[0] < 10 or 100 * b[4] > 20 * b[0]))
-    same(quality.quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), want)
-    assert not quality.quality(docs).where("base_failed and kept").count()
+    for i, text in [*((r[0], r[1]) for r in rows), *texts.items()]:
+        b = brute_quality(text)
+        failed = b[0] < 10 or 100 * b[4] > 20 * b[0]
+        want.append((i, *b, failed, not failed and brute_verdict(text)))
+    same(quality.quality(more).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"), want)
+    assert dict(zip(planted, (w[7] for w in want[len(rows) :]))) == {"phrase": False, "pair": False, "line": False, "long": False, "hundred": True, "plain": True, "few": True}
+    assert not any(w[6] for w in want[len(rows) :])
 
 
 def test_suffix_array_repeats():
     rnd = random.Random(4)
     for _ in range(150):
-        n = rnd.randint(0, 30)
-        ids = np.array([rnd.randint(0, 2) for _ in range(n)], np.int64)
+        n, kinds = rnd.randint(0, 40), rnd.randint(1, 3)
+        ids = np.array([rnd.randrange(kinds) for _ in range(n)], np.int64)
         docs = np.sort(np.array([rnd.randint(0, 2) for _ in range(n)], np.int64))
-        for i, got in enumerate(quality.repeats(ids, docs)):
+        reach, most = quality.repeats(ids, docs, (2, 3))
+        for i, got in enumerate(reach):
             best = 0
             for j in range(n):
                 if i != j and docs[i] == docs[j]:
@@ -361,6 +396,17 @@ def test_suffix_array_repeats():
                         k += 1
                     best = max(best, k)
             assert best == got
+        for size, top in zip((2, 3), most):
+            for d, got in enumerate(top):
+                x = ids[docs == d].tolist()
+                times = max(collections.Counter(tuple(x[i : i + size]) for i in range(len(x) - size + 1)).values(), default=0)
+                assert got == (times if times > 1 else 0)
+
+
+def test_suffix_array_of_a_long_copy():
+    words = np.tile(np.random.default_rng(1).integers(0, 9, 40_000), 3)
+    reach, _ = quality.repeats(words, np.zeros(len(words), np.int64))
+    assert reach[0] == 80_000 and reach[40_000] == 80_000
 
 
 def test_line_dedup(docs, rows):
@@ -461,7 +507,7 @@ def test_warc(spark, tmp_path):
     html = ["<p>same</p>" * 20, "short", None, "", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 9, "é" * 200, "<p>same</p>" * 20]
     pages = [(i, f"http://h{i % 3}.example.org/{9 - i}?q={i}#x" if i else None, html[i % len(html)], "clash") for i in range(40)] + [(3, "http://x.example/\r\n", html[0], "clash"), (3, "again", html[0], "c"), (None, "http://[bad", html[5], "c")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, payload_digest string").repartition(5)
-    got = warc.archive(df, str(tmp_path / "warc"), records_per_file=4).collect()
+    got = warc.archive(df, str(tmp_path / "warc"), bytes_per_file=900).collect()
     digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
     first = {}
     for i, _, h, _ in pages:
@@ -474,8 +520,34 @@ def test_warc(spark, tmp_path):
         want.append((i, len((h or "").encode()), digest(h), "revisit" if again else "response", f if again else None))
     assert sorted(((g.page_id, g.payload_bytes, g.payload_digest, g.record_type, g.refers_to) for g in got), key=repr) == sorted(want, key=repr)
     assert all(g.intact for g in got)
-    keys = [(g.url_key, g.captured_at, g.page_id is None, g.page_id or 0) for g in warc.merged(warc.runs(spark, str(tmp_path / "warc")), rows_per_range=10**6).collect()]
-    assert keys == sorted(keys)
+    files = list((tmp_path / "warc").rglob("part-*.gz"))
+    assert len(files) > 5 and all(len(gzip.decompress(f.read_bytes())) < 900 + 6000 for f in files)
+
+
+@pytest.mark.parametrize("rows_per_range", [10, 25, 10**6])
+def test_warc_histories_go_over_ranges(spark, rows_per_range):
+    rnd = random.Random(2)
+    pages = [(i, "http://hot.example/" if i % 3 else f"http://h{i % 7}.example/{i % 4}", f"<p>{i}</p>", f"2024-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)} 0{rnd.randint(0, 9)}:00:00") for i in range(150)]
+    pages += [(200, "http://hot.example/", "x", None), (None, "http://hot.example/", "y", "2024-05-05 05:05:05")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, captured_at string").repartition(4)
+    got = warc.archive(df, rows_per_range=rows_per_range, bytes_per_file=2_000).orderBy("range", "place").collect()
+    order = [(g.url_key, g.captured_at, g.page_id is None, g.page_id or 0) for g in got]
+    assert len(got) == len(pages) and order == sorted(order) and len({g.range for g in got}) == (1 if rows_per_range > 1000 else max(g.range for g in got) + 1)
+    seen = collections.Counter()
+    for g in got:
+        seen[g.url_key] += 1
+        assert g.history == seen[g.url_key]
+    assert next(g for g in got if g.page_id == 200).captured_at == warc.DATE
+
+
+def test_warc_tells_broken_payloads(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    warc.write(spark.createDataFrame([(1, "http://a.example", "payload")], "page_id long, url string, html string"), path)
+    file = next((tmp_path / "warc").rglob("part-*.gz"))
+    file.write_bytes(gzip.compress(gzip.decompress(file.read_bytes()).replace(b"payload\r", b"pay1oad\r")))
+    for crc in (tmp_path / "warc").rglob(".*.crc"):
+        crc.unlink()
+    assert [r.intact for r in warc.merged(warc.runs(spark, path)).collect()] == [False]
 
 
 def test_loser_tree():
