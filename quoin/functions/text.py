@@ -19,7 +19,8 @@ CROP_WIDTH = 1000
 
 def normalize_ws(text: Column) -> Column:
     """Each run of white space becomes a newline if it holds one, else a space; the ends are kept."""
-    return F.regexp_replace(F.regexp_replace(text, rf"[{WS}]*\n[{WS}]*", "\n"), rf"[{_WS_NO_NEWLINE}]+", " ")
+    # matches begin where no white space precedes and give nothing back, so a run is read once
+    return F.regexp_replace(F.regexp_replace(text, rf"(?<![{WS}])[{_WS_NO_NEWLINE}]*+\n[{WS}]*+", "\n"), rf"[{_WS_NO_NEWLINE}]++", " ")
 
 
 def _is_ws(char: Column) -> Column:
@@ -50,11 +51,17 @@ def fold(text: Column) -> Column:
 
 def label_key(text: Column) -> Column:
     """White space collapsed and trimmed, case folded."""
-    return F.btrim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), f"[{WS}]+", " "), F.lit(" "))
+    single = {c: f for c in map(chr, range(0x80, 0x3000)) if len(f := c.casefold()) == 1 and f != c.lower() and len(c.lower()) == 1}
+    plain = F.translate(F.lower(text), "".join(c.lower() for c in single), "".join(single.values()))
+    special = plain
+    for char in _FOLDS:
+        special = F.replace(special, F.lit(char.lower()), F.lit(char.casefold()))
+    folded = F.when(plain.rlike(f"[{''.join(sorted({c.lower() for c in _FOLDS}))}]"), special).otherwise(plain)
+    return F.btrim(F.regexp_replace(folded, f"[{WS}]+", " "), F.lit(" "))
 
 
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(text, rf"^[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
 
 
 def fragments(quote: Column) -> Column:
@@ -76,23 +83,33 @@ def is_grounded(quote: Column, haystack: Column) -> Column:
     return (F.size(parts) > 0) & F.forall(parts, lambda f: fragment_in(f, haystack))
 
 
-def _counted(words: Column, word: Column) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
-
-
 def words(text: Column) -> Column:
     """The folded words of a text; none for blank text."""
     return F.array_remove(F.split(fold(text), " "), "")
 
 
+def shared_words(a: Column, b: Column) -> Column:
+    """How many words two bags share, from one pass over both in order."""
+    tagged = F.array_sort(F.concat(F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(0).alias("side"))), F.transform(b, lambda w: F.struct(w.alias("w"), F.lit(1).alias("side")))))
+    none = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("w"), none.alias("a"), none.alias("b"), none.alias("shared"))
+
+    def more(s: Column, x: Column) -> Column:
+        again, second = s["w"] == x["w"], x["side"] == 1
+        in_a = F.when(again, s["a"]).otherwise(none) + F.when(second, none).otherwise(none + 1)
+        in_b = F.when(again, s["b"]).otherwise(none) + F.when(second, none + 1).otherwise(none)
+        return F.struct(x["w"].alias("w"), in_a.alias("a"), in_b.alias("b"), (s["shared"] + F.when(second & (in_b <= in_a), none + 1).otherwise(none)).alias("shared"))
+
+    return F.aggregate(tagged, start, more)["shared"]
+
+
 def token_f1(predicted: Column, gold: Column) -> Column:
     """F1 over bags of folded words; 1 if both are empty, 0 if one is or nothing is shared."""
 
     def f1(bags: Column) -> Column:
         p, g = bags["p"], bags["g"]
-        shared = F.aggregate(F.array_distinct(p), F.lit(0), lambda a, w: a + F.least(_counted(p, w), _counted(g, w))).cast("double")
         none = (F.size(p) == 0) | (F.size(g) == 0)
-        return F.when(none, (F.size(p) == F.size(g)).cast("double")).otherwise(2 * shared / F.greatest(F.size(p) + F.size(g), F.lit(1)))
+        return F.when(none, (F.size(p) == F.size(g)).cast("double")).otherwise(2.0 * shared_words(p, g) / F.greatest(F.size(p) + F.size(g), F.lit(1)))
 
     return let(F.struct(words(predicted).alias("p"), words(gold).alias("g")), f1)
 
@@ -107,12 +124,12 @@ def crop_around(text: Column, quote: Column, width: int = CROP_WIDTH) -> Column:
         start = F.when(r["some"], F.greatest(F.lit(0), F.least(at - F.floor((width - r["q"]) / 2), r["n"] - width))).otherwise(0).cast("int")
         return F.struct(*(r[c].alias(c) for c in ("t", "n", "q", "some")), at.alias("at"), start.alias("start"), F.least(r["n"], start + width).alias("end"))
 
-    def forward(r: Column) -> Column:  # to the start of a word, but not past the quote
+    def forward(r: Column) -> Column:  # a word cut at the left edge goes, unless the quote begins in it
         space = F.instr(F.substring(r["t"], r["start"] + 1, r["n"]), F.lit(" "))
         ok = (r["start"] > 0) & (space > 0) & (~r["some"] | (r["start"] + space <= r["at"]))
         return F.struct(*(r[c].alias(c) for c in ("t", "n", "q", "some", "at", "end")), (r["start"] + F.when(ok, space).otherwise(0)).alias("start"))
 
-    def back(r: Column) -> Column:  # to the end of a word, but not into the quote
+    def back(r: Column) -> Column:  # so does one cut at the right edge, unless the quote ends in it
         gap = F.instr(F.reverse(F.substring(r["t"], r["start"] + 1, r["end"] - r["start"])), F.lit(" "))
         ok = (r["end"] < r["n"]) & (gap > 0) & (~r["some"] | (r["end"] - gap >= r["at"] + r["q"]))
         return F.when(r["n"] <= width, r["t"]).otherwise(F.substring(r["t"], r["start"] + 1, r["end"] - F.when(ok, gap).otherwise(0) - r["start"]))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_label, parse_qa
-from ..functions.text import confidence_bucket, fold, is_grounded, strip_ws
+from ..functions.text import confidence_bucket, fold, is_grounded, let, strip_ws
 
 MAX_CHARS = 12_000
 MAX_EXCERPT_TOKENS = 1_300
@@ -76,18 +76,25 @@ def request_error(text: Column, tokens: Column, most_tokens: int, known: Column
 def build_answer(excerpt: Column, output: Column, p_present: Column) -> Column:
     """struct<present, confidence, bucket, p_present, quotes, all_verified, valid>; the decision is the generated one, or
     else the probability's, and the bucket is chosen before rounding."""
-    parsed = parse_qa(output)
-    decided = F.coalesce(parsed["present"], p_present > 0.5)
-    confidence = F.when(decided, p_present).otherwise(1 - p_present)
-    haystack = fold(excerpt)
-    quotes = F.transform(parsed["evidence"], lambda q: F.struct(q.alias("text"), is_grounded(q, haystack).alias("verified")))
-    return F.struct(
-        parsed["present"].alias("present"), F.round(confidence, 4).alias("confidence"), confidence_bucket(confidence).alias("bucket"), F.round(p_present, 4).alias("p_present"), quotes.alias("quotes"),
-        F.forall(quotes, lambda q: q["verified"]).alias("all_verified"), parsed["valid"].alias("valid"),
-    )
+
+    def answer(r: Column) -> Column:
+        parsed, p = r["parsed"], r["p"]
+        confidence = F.when(F.coalesce(parsed["present"], p > 0.5), p).otherwise(1 - p)
+        quotes = F.transform(parsed["evidence"], lambda q: F.struct(q.alias("text"), is_grounded(q, r["haystack"]).alias("verified")))
+        return F.struct(
+            parsed["present"].alias("present"), F.round(confidence, 4).alias("confidence"), confidence_bucket(confidence).alias("bucket"), F.round(p, 4).alias("p_present"), quotes.alias("quotes"), parsed["valid"].alias("valid"),
+        )
+
+    def checked(a: Column) -> Column:
+        return F.struct(*(a[c].alias(c) for c in ("present", "confidence", "bucket", "p_present", "quotes")), F.forall(a["quotes"], lambda q: q["verified"]).alias("all_verified"), a["valid"].alias("valid"))
+
+    return let(let(F.struct(parse_qa(output).alias("parsed"), fold(excerpt).alias("haystack"), p_present.alias("p")), answer), checked)
 
 
 def build_classification(output: Column, seq_logprob: Column, labels: list[str]) -> Column:
     """struct<label, confidence, bucket, valid>."""
-    parsed, confidence = parse_label(output, labels), F.exp(seq_logprob)
-    return F.struct(parsed["label"].alias("label"), F.round(confidence, 4).alias("confidence"), confidence_bucket(confidence).alias("bucket"), parsed["valid"].alias("valid"))
+
+    def answer(r: Column) -> Column:
+        return F.struct(r["parsed"]["label"].alias("label"), F.round(r["p"], 4).alias("confidence"), confidence_bucket(r["p"]).alias("bucket"), r["parsed"]["valid"].alias("valid"))
+
+    return let(F.struct(parse_label(output, labels).alias("parsed"), F.exp(seq_logprob).alias("p")), answer)

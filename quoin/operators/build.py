@@ -47,9 +47,8 @@ def qa_positives(contracts: DataFrame, spans: DataFrame, toks: DataFrame, cfg: C
     draw = S.draw_number(cfg.seed, "contract_id", "category", "start")
     placed = placed.withColumn("first_token", N.positive_start(F.col("first"), F.col("last"), F.col("n_tokens"), cfg.window_tokens, draw))
     keys = ["contract_id", "category", "start", "end"]
-    edges = placed.join(toks, "contract_id").where(F.col("idx").between(F.col("first_token"), F.col("first_token") + cfg.window_tokens - 1))
-    edges = edges.groupBy(*keys).agg(F.min("ts").alias("ws"), F.max("te").alias("we"))
-    windows = placed.select(*keys).join(edges, keys, "left")
+    ws, we = N.window_edges(F.col("first_token"), cfg.window_tokens)
+    windows = placed.select(*keys, ws.alias("ws"), we.alias("we"))
     same = spans.select(F.col("contract_id").alias("_c"), F.col("category").alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     met = windows.join(same, (F.col("contract_id") == F.col("_c")) & (F.col("category") == F.col("_k")) & (F.col("_s") < F.col("we")) & (F.col("_e") > F.col("ws")), "left")
     met = met.join(contracts, "contract_id").withColumn("rel", N.relation(F.col("_s"), F.col("_e"), F.col("ws"), F.col("we")))
@@ -70,9 +69,7 @@ def qa_set(positives: DataFrame, spans: DataFrame, tiles: DataFrame, cfg: Config
     picked = S.balanced_sample(used, "category", "pos_id", n_pos, seed)
     cats = spans.select("contract_id", "category").distinct()
     hard = N.free_windows(tiles.join(cats, "contract_id"), spans, ["contract_id", "category"]).select("contract_id", "category", "tile")
-    grid = tiles.select("contract_id").distinct().join(F.broadcast(picked.select("category").distinct())).join(cats, ["contract_id", "category"], "left_anti")
-    easy = tiles.join(grid, "contract_id").select("contract_id", "category", "tile")
-    negatives = S.matched_negatives(picked.select("pos_id", "contract_id", "category"), hard, easy, seed, cfg.hard_negative_ratio)
+    negatives = S.matched_negatives(picked.select("pos_id", "contract_id", "category"), tiles.select("contract_id", "tile"), hard, cats, seed, cfg.hard_negative_ratio)
     negatives = negatives.orderBy(S.draw_key(seed, "pos_id")).limit(n - n_pos).withColumnRenamed("neg_contract_id", "contract_id").join(tiles, ["contract_id", "tile"])
     none = F.array().cast("array<string>")
     a = picked.select("contract_id", "category", "ws", "we", F.lit(True).alias("present"), "evidence", F.lit(None).cast("string").alias("neg_type"))
@@ -88,7 +85,7 @@ def build(contracts: DataFrame, spans: DataFrame, descriptions: DataFrame, label
     sets = contracts.select("contract_id").join(own.groupBy("contract_id").agg(F.collect_set("category").alias("labels")), "contract_id", "left")
     sets = sets.select(F.col("contract_id").alias("item_id"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
     splits = S.stratified_split(sets, list(cfg.fractions), cfg.seed).withColumnRenamed("item_id", "contract_id")
-    toks = N.tokens(contracts, "contract_id")
+    toks = N.token_arrays(contracts, "contract_id")
     tiles = N.tiles(toks, cfg.window_tokens, "contract_id")
     items = classification_items(contracts, own, rarity, cfg)
     positives = qa_positives(contracts, own, toks, cfg)
@@ -99,7 +96,7 @@ def build(contracts: DataFrame, spans: DataFrame, descriptions: DataFrame, label
         seed = f"{cfg.seed}-{split}"
         cls = S.balanced_sample(inside(items).withColumn("item", F.concat_ws("/", "contract_id", F.col("start").cast("string"), F.col("end").cast("string"))), "target", "item", n_cls, seed)
         cls = cls.select(F.lit("classification").alias("task"), "contract_id", "clause", "labels", F.col("target").alias("target_label"))
-        qa = qa_set(inside(positives), inside(own), inside(tiles), cfg, n_qa, seed).join(contracts, "contract_id").join(F.broadcast(descriptions), "category", "left")
+        qa = qa_set(inside(positives), inside(own), inside(tiles), cfg, n_qa, seed).join(contracts, "contract_id").join(descriptions, "category", "left")
         qa = qa.select(F.lit("qa").alias("task"), "contract_id", "category", N.quote(F.col("text"), F.col("ws"), F.col("we")).alias("excerpt"), "present", "evidence", "neg_type", "description")
         both = cls.unionByName(qa, allowMissingColumns=True).withColumn("split", F.lit(split))
         out = both if out is None else out.unionByName(both)
@@ -108,6 +105,5 @@ def build(contracts: DataFrame, spans: DataFrame, descriptions: DataFrame, label
     prompt, completion = P.attach(F.col("task"), P.classification_messages(F.col("clause"), F.lit(kept)), P.qa_messages(F.col("excerpt"), F.col("category"), F.coalesce("description", F.lit(""))), F.col("target_label"), P.qa_target(F.col("present"), F.col("evidence")))
     out = out.withColumn("prompt", prompt).withColumn("completion", completion).withColumn("n_tokens", P.count_tokens(F.col("prompt"), F.col("completion")))
     key = F.md5(P.contents(F.col("prompt"), F.col("completion")))
-    out = S.with_ids(out, F.concat_ws("-", "split", "task"), ["split", "task"], [key, "contract_id"]).where(F.col("n_tokens") <= cfg.max_tokens)
-    shuffled = F.row_number().over(Window.partitionBy("split").orderBy(S.draw_key(cfg.seed, "id"))) - 1
-    return out.withColumn("pos", shuffled).drop("description")
+    out = S.with_ids(out, F.concat_ws("-", "split", "task"), ["split", "task"], key, ["contract_id"]).where(F.col("n_tokens") <= cfg.max_tokens)
+    return S.ranked(out, ["split"], S.draw_key(cfg.seed, "id"), ["id"]).withColumnRenamed("_rank", "pos").drop("description", "_size")

@@ -130,13 +130,26 @@ def calibration(rows: DataFrame, confidence: str = "confidence", correct: str =
     return whole.join(e).join(auroc(scored, confidence, correct))
 
 
+def ordinals(rows: DataFrame, order: str, parts: int = 64, sample: int = 4096) -> DataFrame:
+    """``rows`` with ``_j``: the place of a row by ``order``, from 0. Edges of ``parts`` ranges come from a bounded sample;
+    rows are numbered in their range, and the sizes of the ranges before are added, so no task numbers all rows."""
+    some = sorted(r[0] for r in rows.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(sample).collect())
+    edges = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
+    own = rows.withColumn("_part", F.when(F.col(order).isNull(), -1).otherwise(part))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    return own.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("_j", (F.col("_before") + F.col("_inside")).cast("long")).select("_j", *rows.columns)
+
+
 def replicates(rows: DataFrame, order: str, n_boot: int, seed: str = "b") -> DataFrame:
     """``rows`` drawn with replacement, as many as there are, ``n_boot`` times (column ``b``).
 
     Draw i of replicate b takes row md5(seed-b-i) mod n. The draws are made from a range and joined on the row number,
     so nothing is collected; n is counted once.
     """
-    numbered = rows.withColumn("_j", F.row_number().over(Window.orderBy(order)) - 1).select((F.col("_j")).cast("long").alias("_j"), *rows.columns)
+    numbered = ordinals(rows, order)
     n = rows.count()
     draws = rows.sparkSession.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("b"), (F.col("id") % max(n, 1)).alias("_i"))
     number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("b").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")

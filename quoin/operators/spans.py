@@ -40,8 +40,9 @@ def quote(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, idx, ts, te of every white-space token of a text: character offsets, half open. Linear in the text."""
+def token_arrays(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ts, te: the character offsets of a text's white-space tokens, half open, as two arrays a row. Linear in the
+    text; null text has no tokens."""
     import re
 
     find = re.compile(r"[^\s]+").finditer
@@ -51,26 +52,41 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(i, m.start(), m.end(), r) for r, t in enumerate(part.column(1).to_pylist()) for i, m in enumerate(find(t or ""))]
-                cols = list(zip(*rows)) if rows else [(), (), (), ()]
-                keys = part.column(0).take(pa.array(cols[3], pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int32()) for c in cols[:3])], names=[key, "idx", "ts", "te"])
+                edges = [[m.span() for m in find(t or "")] for t in part.column(1).to_pylist()]
+                cols = [pa.array([[e[i] for e in own] for own in edges], pa.list_(pa.int32())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[key, "ts", "te"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, idx int, ts int, te int")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ts array<int>, te array<int>")
 
 
-def tiles(toks: DataFrame, width: int = WINDOW_TOKENS, key: str = "doc_id") -> DataFrame:
-    """key, tile, ws, we: windows of ``width`` tokens side by side, the last one shorter; none for texts without tokens."""
-    return toks.groupBy(key, F.floor(F.col("idx") / width).cast("int").alias("tile")).agg(F.min("ts").alias("ws"), F.max("te").alias("we"))
+def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, idx, ts, te of every white-space token of a text, a row each."""
+    rows = token_arrays(docs, key, text).select(key, F.posexplode(F.arrays_zip("ts", "te")).alias("idx", "x"))
+    return rows.select(key, "idx", "x.ts", "x.te")
+
+
+def tiles(arrays: DataFrame, width: int = WINDOW_TOKENS, key: str = "doc_id") -> DataFrame:
+    """key, tile, ws, we from ``token_arrays``: windows of ``width`` tokens side by side, the last one shorter; none for
+    texts without tokens."""
+    n = F.size("ts")
+    of = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda t: F.struct(t.alias("tile"), F.get("ts", t * width).alias("ws"), F.get("te", F.least((t + 1) * width, n) - 1).alias("we")))
+    return arrays.where(n > 0).select(key, F.explode(of).alias("x")).select(key, "x.tile", "x.ws", "x.we")
+
+
+def span_tokens(spans: DataFrame, arrays: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Spans with the first token that ends after their start, the last that starts before their end, the number of tokens,
+    and the token arrays ``ts`` and ``te`` of their text; a row a span."""
+    met = spans.join(arrays, key).where(F.size("ts") > 0)
+    first = F.size(F.filter("te", lambda e: e <= F.col("start")))
+    last = F.size(F.filter("ts", lambda s: s < F.col("end"))) - 1
+    n = F.size("ts")
+    out = met.select(*spans.columns, F.when(first < n, first).alias("first"), F.when(last >= 0, last).alias("last"), n.alias("n_tokens"), "ts", "te")
+    return out.withColumn("last", F.greatest("first", "last"))
 
 
-def span_tokens(spans: DataFrame, toks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Spans with the first token that ends after their start and the last that starts before their end."""
-    met = spans.join(toks, key)
-    first = F.min(F.when(F.col("te") > F.col("start"), F.col("idx")))
-    last = F.max(F.when(F.col("ts") < F.col("end"), F.col("idx")))
-    out = met.groupBy(*spans.columns).agg(first.alias("first"), last.alias("last"), (F.max("idx") + 1).alias("n_tokens"))
-    return out.withColumn("last", F.greatest("first", "last"))
+def window_edges(first_token: Column, width: int) -> tuple[Column, Column]:
+    """Start and end of a window of ``width`` tokens from ``first_token``, by the arrays ``ts`` and ``te`` of the row."""
+    return F.get("ts", first_token), F.get("te", F.least(first_token + width, F.size("te")) - 1)
 
 
 def positive_start(first: Column, last: Column, n: Column, width: int, draw: Column) -> Column:

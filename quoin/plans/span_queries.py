@@ -14,7 +14,7 @@ W = 50
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, (idx // {W})::INT AS tile, min(ts)::INT AS ws, max(te)::INT AS we FROM tokens GROUP BY doc_id, idx // {W}")
 def doc_tiles(spark, sf_dir):
-    return N.tiles(N.tokens(read(spark, sf_dir, "documents")), W)
+    return N.tiles(N.token_arrays(read(spark, sf_dir, "documents")), W)
 
 
 _PLACED = f"""{SPANS_SQL}, {TOKENS_SQL}, st AS (SELECT s.doc_id, s.item_id, min(CASE WHEN te > s."start" THEN idx END) AS f, max(CASE WHEN ts < s."end" THEN idx END) AS l, max(idx) + 1 AS n FROM spans s JOIN tokens t ON s.doc_id = t.doc_id GROUP BY s.doc_id, s.item_id),
@@ -23,21 +23,19 @@ pos AS (SELECT doc_id, item_id, f, l, CASE WHEN l - f + 1 <= {W} THEN lo + {draw
 
 
 def _positives(spark, sf_dir):
-    """Spans of documents with the window drawn around them: first_token, ws, we."""
+    """Spans of documents with the window drawn around them: first_token, ws, we; and the spans."""
     docs = read(spark, sf_dir, "documents")
     own = spans(spark, sf_dir)
-    toks = N.tokens(docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi"))
-    placed = N.span_tokens(own, toks)
+    placed = N.span_tokens(own, N.token_arrays(docs.join(own.select("doc_id").distinct(), "doc_id", "left_semi")))
     start = N.positive_start(F.col("first"), F.col("last"), F.col("n_tokens"), W, S.draw_number("w", "doc_id", "item_id"))
     placed = placed.withColumn("first_token", start)
-    inside = placed.join(toks, "doc_id").where("idx >= first_token and idx < first_token + %d" % W)
-    edges = inside.groupBy("doc_id", "item_id").agg(F.min("ts").alias("ws"), F.max("te").alias("we"))
-    return placed.join(edges, ["doc_id", "item_id"], "left"), own, toks
+    ws, we = N.window_edges(F.col("first_token"), W)
+    return placed.withColumn("ws", ws).withColumn("we", we).drop("ts", "te"), own
 
 
 @query(f"WITH {_PLACED} SELECT doc_id, item_id, f::BIGINT AS first, l::BIGINT AS last, first_token::BIGINT AS first_token FROM pos")
 def positive_windows(spark, sf_dir):
-    p, _, _ = _positives(spark, sf_dir)
+    p, _ = _positives(spark, sf_dir)
     return p.select("doc_id", "item_id", big("first").alias("first"), big("last").alias("last"), big("first_token").alias("first_token"))
 
 
@@ -47,7 +45,7 @@ _WINDOWS = f"""{_PLACED}, win AS (SELECT p.doc_id, p.item_id, min(ts) AS ws, max
 @query(f"""WITH {_WINDOWS} SELECT w.doc_id, w.item_id, count(*) FILTER (s."start" >= ws AND s."end" <= we)::BIGINT AS n_full, coalesce(bool_or(NOT (s."start" >= ws AND s."end" <= we)), false) AS cut, min(s."start") FILTER (s."start" >= ws AND s."end" <= we)::BIGINT AS first_full
 FROM win w LEFT JOIN spans s ON s.doc_id = w.doc_id AND s."start" < we AND s."end" > ws GROUP BY w.doc_id, w.item_id""")
 def evidence_in_window(spark, sf_dir):
-    p, own, _ = _positives(spark, sf_dir)
+    p, own = _positives(spark, sf_dir)
     windows = p.where("ws is not null").select("doc_id", "item_id", "ws", "we")
     met = N.evidence_in_windows(windows, own.select("doc_id", "start", "end"), ["doc_id"], ["doc_id", "item_id"])
     return met.select("doc_id", "item_id", "n_full", "cut", big("first_full").alias("first_full"))
@@ -61,7 +59,7 @@ WHERE EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = t.doc_id) AND NOT EXISTS (S
 def free_windows(spark, sf_dir):
     own = spans(spark, sf_dir).select("doc_id", "start", "end")
     docs = read(spark, sf_dir, "documents").join(own.select("doc_id").distinct(), "doc_id", "left_semi")
-    free = N.free_windows(N.tiles(N.tokens(docs), W), own, ["doc_id"])
+    free = N.free_windows(N.tiles(N.token_arrays(docs), W), own, ["doc_id"])
     return free.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_free"), big(F.min("tile")).alias("first_free"), big(F.max("tile")).alias("last_free"))
 
 
@@ -79,15 +77,13 @@ SELECT pos_id, q.category, neg_type, h.doc_id AS neg_contract_id, h.tile::BIGINT
 UNION ALL SELECT pos_id, q.category, neg_type, o.doc_id, et.tile::BIGINT FROM q JOIN own o ON neg_type = 'other_contract' AND o.category = q.category AND o.k = dr % ne JOIN et ON et.category = q.category AND et.doc_id = o.doc_id AND et.t = td % et.n""")
 def matched_negatives(spark, sf_dir):
     own = spans(spark, sf_dir)
-    holders = own.select("doc_id").distinct()
-    tiles = N.tiles(N.tokens(read(spark, sf_dir, "documents").join(holders, "doc_id", "left_semi")), W)
+    docs = read(spark, sf_dir, "documents").join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    tiles = N.tiles(N.token_arrays(docs), W)
     cats = own.select("doc_id", "category").distinct()
     hard = N.free_windows(tiles.join(cats, "doc_id"), own.select("doc_id", "category", "start", "end"), ["doc_id", "category"])
-    grid = holders.join(F.broadcast(own.select("category").distinct())).join(cats, ["doc_id", "category"], "left_anti")  # contracts by categories, both small
-    easy = tiles.join(grid, "doc_id")
-    pos = own.select((F.col("doc_id") * 1000 + F.col("item_id")).alias("pos_id"), F.col("doc_id").alias("contract_id"), "category")
-    pick = lambda d: d.select(F.col("doc_id").alias("contract_id"), "category", "tile")
-    out = S.matched_negatives(pos, pick(hard), pick(easy), "neg")
+    contract = lambda d, *c: d.select(F.col("doc_id").alias("contract_id"), *c)
+    pos = contract(own.withColumn("pos_id", F.col("doc_id") * 1000 + F.col("item_id")), "pos_id", "category")
+    out = S.matched_negatives(pos, contract(tiles, "tile"), contract(hard, "category", "tile"), contract(cats, "category"), "neg")
     return out.select("pos_id", "category", "neg_type", "neg_contract_id", big("tile").alias("tile"))
 
 
@@ -166,7 +162,7 @@ def evidence_length_filter(spark, sf_dir):
 
 @query("""SELECT doc_id, id FROM (SELECT doc_id, n_chars, 'eval-' || lang || '-' || lpad((row_number() OVER (PARTITION BY lang ORDER BY md5('id-' || doc_id::VARCHAR), doc_id) - 1)::VARCHAR, 5, '0') AS id FROM documents) WHERE n_chars <= 5000""")
 def id_assign(spark, sf_dir):
-    d = S.with_ids(read(spark, sf_dir, "documents"), F.concat(F.lit("eval-"), F.col("lang")), ["lang"], [S.draw_key("id", "doc_id"), "doc_id"])
+    d = S.with_ids(read(spark, sf_dir, "documents"), F.concat(F.lit("eval-"), F.col("lang")), ["lang"], S.draw_key("id", "doc_id"), ["doc_id"])
     return d.where("n_chars <= 5000").select("doc_id", "id")
 
 

@@ -21,7 +21,7 @@ def grounded_quotes(spark, sf_dir):
 
 
 _VARIANTS = {
-    "upper": ("upper(text)", "text"), "number_cut": ("text || ' 60 days'", "text || ' 160 days'"), "number_whole": ("text || ' 60 days'", "text || ', 60 days.'"),
+    "upper": ("upper(text)", "text"), "number_cut": ("text || ' no 48'", "text || ' no 4805'"), "number_whole": ("text || ' no 48'", "text || ' (no. 48)'"),
     "ellipsis": ("substr(text, 1, 20) || ' ... ' || substr(text, 40, 30)", "text"), "changed": ("replace(text, 'th', 'zz')", "text"), "blank": ("' . '", "text"),
 }
 

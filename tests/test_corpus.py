@@ -1,7 +1,9 @@
 """Corpora, windows, samples and splits."""
 
 import collections
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -35,7 +37,13 @@ def test_nested_corpus_to_spans(spark, tmp_path):
 @pytest.fixture(scope="module")
 def toks(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(47))), (2, "  \n"), (3, "one"), (4, None)], "doc_id long, text string")
-    return N.tokens(docs).cache()
+    return N.token_arrays(docs).cache()
+
+
+def test_tokens_are_the_arrays_row_by_row(spark, toks):
+    docs = spark.createDataFrame([(7, " a  bé\u3000c "), (8, "")], "doc_id long, text string")
+    assert [tuple(r) for r in N.tokens(docs).collect()] == [(7, 0, 1, 2), (7, 1, 4, 6), (7, 2, 7, 8)]
+    assert {r.doc_id: len(r.ts) for r in toks.collect()} == {1: 47, 2: 0, 3: 1, 4: 0}
 
 
 def test_tiles_cover_without_overlap(toks):
@@ -79,29 +87,88 @@ def test_few_shot_needs_enough(spark):
         S.require_k(df, ["key"], 2).collect()
 
 
-def test_greedy_split(spark):
-    labels = {f"i{i}": [x for x, ok in (("x", i % 5 < 3), ("y", i % 7 < 4), ("rare", i % 20 == 0)) if ok] for i in range(200)}
-    df = spark.createDataFrame(list(labels.items()), "item_id string, labels array<string>")
-    fractions = [("train", 0.8), ("val", 0.1), ("test", 0.1)]
-    got = {r.item_id: r.split for r in S.stratified_split(df, fractions, "42").collect()}
-    assert got == {r.item_id: r.split for r in S.stratified_split(df.repartition(3), fractions, "42").collect()}
-    assert set(got) == set(labels)
-    n = collections.Counter(got.values())
-    assert abs(n["train"] - 160) <= 3 and abs(n["val"] - 20) <= 3 and abs(n["test"] - 20) <= 3
-    assert {got[i] for i in labels if "rare" in labels[i]} == {"train", "val", "test"}
+def replayed(labels, shares, seed):
+    """The split by its rule, everything counted anew for each item."""
+    order = sorted(labels, key=lambda i: (hashlib.md5(f"{seed}-{i}".encode()).hexdigest(), i))
+    out = {}
+    total = collections.Counter(x for own in labels.values() for x in own)
+
+    def lack(label, split):
+        return shares[split] * total[label] - sum(label in labels[i] for i, s in out.items() if s == split)
+
+    def room(split):
+        return shares[split] * len(labels) - sum(s == split for s in out.values())
+
+    while True:
+        waiting = collections.Counter(x for i in order if i not in out for x in labels[i])
+        if not waiting:
+            break
+        label = min(waiting, key=lambda x: (waiting[x], x))
+        for i in order:
+            if i not in out and label in labels[i]:
+                out[i] = max(shares, key=lambda s: (lack(label, s), room(s)))
+    for i in order:
+        if i not in out:
+            out[i] = max(shares, key=room)
+    return out
+
+
+@pytest.mark.parametrize("seed", ["7", "x"])
+def test_stratified_split_follows_its_rule(spark, seed):
+    rnd = random.Random(seed)
+    topics = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    labels = {100 + i: rnd.sample(topics[: 1 + i % 6], rnd.randint(0, min(3, 1 + i % 6))) for i in range(90)}
+    shares = {"one": 0.5, "two": 0.375, "three": 0.125}  # exact in binary, so counts are too
+    df = spark.createDataFrame(list(labels.items()), "item_id long, labels array<string>")
+    want = replayed(labels, shares, seed)
+    for part in (df, df.repartition(4)):
+        assert {r.item_id: r.split for r in S.stratified_split(part, list(shares.items()), seed).collect()} == want
+    assert S.stratified_split(df.limit(0), list(shares.items()), seed).count() == 0
+
+
+def test_ranks_of_hot_groups(spark):
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"))
+    got = S.ranked(df, ["g"], S.draw_key("s", "id"), ["id"]).collect()
+    groups = collections.defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (hashlib.md5(f"s-{r.id}".encode()).hexdigest(), r.id)):
+        groups[r.g].append(r.id)
+    assert {(r.id, r._rank, r._size) for r in got} == {(i, k, len(ids)) for ids in groups.values() for k, i in enumerate(ids)}
+
+
+def test_first_of_duplicates(spark):
+    rows = [(1, "a", 5, None), (2, "a", 3, "x"), (3, "a", 3, "y"), (4, None, 9, "z"), (5, None, None, "n")]
+    df = spark.createDataFrame(rows, "id long, k string, n long, v string")
+    assert sorted(tuple(r) for r in S.first_of_duplicates(df, ["k"], ["n", "id"]).collect()) == [(2, "a", 3, "x"), (5, None, None, "n")]
 
 
 def test_matched_negatives_are_negative(spark):
-    pos = spark.createDataFrame([(i, i % 4, "ab"[i % 2]) for i in range(40)], "pos_id long, contract_id long, category string")
-    hard = spark.createDataFrame([(c, k, t) for c in range(4) for k in "ab" if (c % 2 == 0) == (k == "a") for t in range(c)], "contract_id long, category string, tile int")
-    easy = spark.createDataFrame([(c, k, t) for c in (10, 11) for k in "ab" for t in range(3)], "contract_id long, category string, tile int")
-    out = S.matched_negatives(pos, hard, easy, "s").collect()
-    assert sorted(r.pos_id for r in out) == list(range(40))
+    held = {0: "ab", 1: "b", 2: "a", 3: "ab", 10: "", 11: "c", 12: "a", 13: "ab"}
+    n_tiles = {0: 3, 1: 0, 2: 2, 3: 1, 10: 4, 11: 1, 12: 2, 13: 2}
+    pos = spark.createDataFrame([(i, (0, 2, 3, 12)[i % 4], "a") for i in range(400)], "pos_id long, contract_id long, category string")
+    tiles = spark.createDataFrame([(c, t) for c, n in n_tiles.items() for t in range(n)], "contract_id long, tile int")
+    hard = spark.createDataFrame([(0, "a", 1), (0, "a", 2), (2, "a", 0)], "contract_id long, category string, tile int")
+    cats = spark.createDataFrame([(c, k) for c, own in held.items() for k in own], "contract_id long, category string")
+    out = S.matched_negatives(pos, tiles, hard, cats, "s").collect()
+    assert sorted(r.pos_id for r in out) == list(range(400))
     home = {r.pos_id: r.contract_id for r in pos.collect()}
+    seen = collections.Counter()
     for r in out:
-        assert (r.neg_type == "same_contract") == (r.neg_contract_id == home[r.pos_id])
-        assert r.neg_type == "same_contract" or r.neg_contract_id in (10, 11)
-    assert len({r.neg_type for r in out}) == 2
+        if r.neg_type == "same_contract":
+            assert r.neg_contract_id == home[r.pos_id] and (r.neg_contract_id, r.tile) in {(0, 1), (0, 2), (2, 0)}
+        else:
+            assert "a" not in held[r.neg_contract_id] and r.tile < n_tiles[r.neg_contract_id]
+            seen[r.neg_contract_id] += 1
+    assert set(seen) == {10, 11} and min(seen.values()) > 0.4 * sum(seen.values())  # 1 has no tile
+    assert {home[r.pos_id] for r in out if r.neg_type == "same_contract"} == {0, 2}
+
+
+def test_ordinals(spark):
+    from quoin.operators.scoring import ordinals
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(5)
+    got = ordinals(df, "k", parts=16, sample=200).orderBy("k").collect()
+    assert [r._j for r in got] == list(range(5000))
+    assert ordinals(df.limit(0), "k").count() == 0
 
 
 def test_prompts(spark):

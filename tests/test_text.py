@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,14 +47,35 @@ def test_fold_follows_casefold(spark):
     assert [r[0] for r in one(spark, [(t,) for t in ODD], "t string", T.fold(F.col("t")))] == [plain_fold(t) for t in ODD]
 
 
-def test_grounding_ladder(spark):
-    excerpt = "The Supplier shall pay, within 160 days, the sum of “ten” dollars ($10) to the Buyer. Notices go by mail."
-    cases = [
-        ("the supplier SHALL pay within 160 days", True), ("shall  pay\nwithin", True), ("“ten” dollars", True), ("60 days", False), ("160 day", True), ("16", False), ("within 160", True),
-        ("the Supplier ... Notices go", True), ("Notices go [...] the supplier", True), ("the Supplier … nothing here", False), ("pplier shall p", True), ("supplier shall not pay", False), ("", False), ("..", False), ("ab", False), (" . ! ", False),
-    ]
-    got = one(spark, [(q, excerpt) for q, _ in cases], "q string, e string", T.is_grounded(F.col("q"), T.fold(F.col("e"))))
-    assert [g[0] for g in got] == [w for _, w in cases]
+def test_grounding_by_parts_and_edges(spark):
+    lease = "Rent of €4,250 falls due on day 12 of every quarter; the tenant's deposit (3,100) bears no interest. See annex B-7."
+    cases = {
+        "RENT OF 4 250": True, "250 falls due": True, "50 falls due": False, "day 1": False, "day 12": True, "day 12 of every quart": True, "enant s deposit": True, "deposit 3 100 bears": True, "deposit 3 10": False,
+        "rent of ... no interest": True, "no interest [...] rent of": True, "rent of … no dogs": False, "annex b 7": True, "...": False, "B-": False, " ; ": False, "": False, "quarter tenant": False,
+    }
+    got = one(spark, [(q, lease) for q in cases], "q string, e string", T.is_grounded(F.col("q"), T.fold(F.col("e"))))
+    assert dict(zip(cases, (g[0] for g in got))) == cases
+
+
+def test_long_runs_of_blanks_take_linear_time(spark):
+    texts = [" " * 1_000_000 + "x", "a" + "\t " * 500_000 + "\n" + " " * 1_000_000, "\n" * 1_000_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    start = time.time()
+    got = df.select(F.length(T.normalize_ws(F.col("t"))), F.length(T.strip_ws(F.col("t")))).collect()
+    assert [tuple(r) for r in got] == [(2, 1), (2, 1), (1, 0)] and time.time() - start < 10
+
+
+def test_label_key_is_casefold(spark):
+    odd = ["STRASSE ẞß", "ŉ ǰ ẖẗẘẙẚ", "ﬀﬁﬂﬃﬄﬅﬆ ſ", "ΑΣ ς µ", "  a\u3000 B ", "plain Label"]
+    got = one(spark, [(t,) for t in odd], "t string", T.label_key(F.col("t")))
+    assert [g[0] for g in got] == [" ".join(t.split()).casefold() for t in odd]
+
+
+def test_token_f1_of_long_bags(spark):
+    a, b = " ".join(f"w{i % 700}" for i in range(20_000)), " ".join(f"w{i % 900}" for i in range(15_000))
+    start = time.time()
+    (got,) = one(spark, [(a, b)], "p string, g string", T.token_f1(F.col("p"), F.col("g")))[0]
+    assert abs(got - plain_f1(a, b)) < 1e-12 and time.time() - start < 10
 
 
 def plain_f1(p, g):
