@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates one row stays, that with the smallest id (null ids last; of rows that repeat the id
     the first). Rows without words are a group of their own."""
     rows = placed(docs)
-    return without(rows, simhash.copies(rows)).select(*(f"`{c}`" for c in docs.columns))
+    return without(rows, lambda: simhash.copies(rows)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,12 +137,25 @@ def marked(marks: Column, number: Column) -> Column:
     return F.coalesce(F.getbit(byte, F.pmod(number, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
+def written_marks(marks: DataFrame) -> DataFrame:
+    """The bitmaps of ``marks``, written where ``scratch`` around this call doesn't delete them (one further out does)."""
+    own = _OPEN.pop() if _OPEN else None
+    try:
+        return cut(bitmaps(marks), "marks")
+    finally:
+        if own is not None:
+            _OPEN.append(own)
+
+
 def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """``rows`` (from ``placed``) with the bitmaps of their files. Only the bitmaps move."""
-    return rows.join(cut(bitmaps(marks), "marks").hint("shuffle_hash"), "__file", "left")
+    return rows.join(marks.hint("shuffle_hash"), "__file", "left")
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """``rows`` (from ``placed``) but for those at the places ``__file, __at`` of ``gone``; the two columns go."""
-    kept = with_marks(rows, gone.select("__file", F.col("__at").alias("__mark")))
+def without(rows: DataFrame, gone: Callable[[], DataFrame]) -> DataFrame:
+    """``rows`` (from ``placed``) but for those at the places ``__file, __at`` of ``gone()``; the two columns go. What is
+    written to find the places is deleted when they are known."""
+    with scratch():
+        marks = written_marks(gone().select("__file", F.col("__at").alias("__mark")))
+    kept = with_marks(rows, marks)
     return kept.where(~marked(F.col("__marks"), F.col("__at"))).drop("__file", "__at", "__marks")

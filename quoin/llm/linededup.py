@@ -1,6 +1,6 @@
 """Lines that many documents share: drop them everywhere but in the largest document that holds them.
 
-Lines are exploded as 16-byte hashes of their normalised form, distinct documents are counted for each hash, lines
+Lines are exploded as 128-bit hashes of their normalised form, distinct documents are counted for each hash, lines
 over the threshold go, and each document is put together again by position.
 
 Rows are first written in place (``common.placed``), and the lines of a file are numbered through. What the threshold
@@ -19,6 +19,7 @@ one document that is smaller than any other.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, id_and_text, marked, placed, with_marks
+from .common import BLANKS, cut, id_and_text, marked, placed, scratch, with_marks, written_marks
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 NO_ID = -(1 << 63)
+_TWO = struct.Struct("<qq")
 
 
 def line_key(line: bytes) -> bytes:
@@ -38,12 +40,12 @@ def line_key(line: bytes) -> bytes:
     return line.strip(BLANKS).lower()
 
 
-def line_hash(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
-    """The hash of a line's key, or None if the key is short."""
+def line_hash(line: bytes, min_chars: int = MIN_CHARS) -> tuple[int, int] | None:
+    """128 bits of hash of a line's key as two numbers, or None if the key is short."""
     key = line_key(line)
     if len(key) < min_chars or len(key) < 4 * min_chars and len(key.decode()) < min_chars:
         return None
-    return hashlib.sha256(key).digest()[:16]
+    return _TWO.unpack_from(hashlib.sha256(key).digest())
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -68,30 +70,29 @@ def shared_lines(rows: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """__file, __mark: numbers, in their files, of the lines that go from ``rows`` (as ``numbered`` gives them)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "doc_id", "__file", "__mark"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                cols: list[list] = [[], [], [], []]
+                rows = []
                 for i, text, file, line in zip(*(c.to_pylist() for c in part.columns)):
-                    own: dict[bytes, list[int]] = {}
-                    for n, x in enumerate((text or "").encode().split(b"\n"), line):
-                        if (h := line_hash(x, min_chars)) is not None:
-                            own.setdefault(h, []).append(n)
-                    for c, values in zip(cols, ([NO_ID if i is None else i] * len(own), own.keys(), [file] * len(own), own.values())):
-                        c.extend(values)
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "key", "__file", "__marks"])
+                    own = NO_ID if i is None else i
+                    rows += [(*h, own, file, n) for n, x in enumerate((text or "").encode().split(b"\n"), line) if (h := line_hash(x, min_chars)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
 
-    lines = cut(id_and_text(rows, keep=("__file", "__line")).mapInArrow(keys, "doc_id long, key binary, __file int, __marks array<long>"), "line-hashes")
-    counts = lines.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    common = cut(counts.where(F.col("n") >= min_docs).select("key", "keeper"), "common-lines")
-    return lines.join(common, "key").where("doc_id < keeper").select("__file", F.explode("__marks").alias("__mark"))
+    lines = cut(id_and_text(rows, keep=("__file", "__line")).mapInArrow(keys, "k1 long, k2 long, doc_id long, __file int, __mark long"), "line-hashes")
+    counts = lines.groupBy("k1", "k2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+    common = cut(counts.where(F.col("n") >= min_docs).select("k1", "k2", "keeper"), "common-lines")
+    return lines.join(common, ["k1", "k2"]).where("doc_id < keeper").select("__file", "__mark")
 
 
 def without_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Every row of ``docs`` as it is, with __text (the text of the lines that stay), __n_lines (before), __n_dropped."""
     rows = numbered(docs)
-    found = with_marks(rows, shared_lines(rows, min_chars, min_docs))
+    with scratch():
+        marks = written_marks(shared_lines(rows, min_chars, min_docs))
+    found = with_marks(rows, marks)
     lines = _lines(F.col("text"))
     stay = F.filter(lines, lambda _, i: ~marked(F.col("__marks"), F.col("__line") + i))
     found = found.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__kept", F.when(F.col("__marks").isNotNull(), stay))
