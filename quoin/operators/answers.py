@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import parse_label, parse_qa
 from ..functions.text import confidence_bucket, fold, is_grounded, let, strip_ws
+from . import prompts as P
 
 MAX_CHARS = 12_000
 MAX_EXCERPT_TOKENS = 1_300
@@ -21,9 +22,17 @@ def todo(items: DataFrame, done: DataFrame) -> DataFrame:
     return items.join(done.select("id"), "id", "left_anti")
 
 
-def leaks(demos: DataFrame, items: DataFrame) -> DataFrame:
-    """Contracts that demonstrations share with evaluation items; must be empty."""
-    return demos.select("contract_id").intersect(items.select("contract_id"))
+def evaluation_contracts(sets: list[DataFrame]) -> DataFrame:
+    """contract_id of all evaluation sets, each once."""
+    out = sets[0].select("contract_id")
+    for more in sets[1:]:
+        out = out.union(more.select("contract_id"))
+    return out.distinct()
+
+
+def leaks(demos: DataFrame, *sets: DataFrame) -> DataFrame:
+    """Contracts that demonstrations share with any of the evaluation sets; must be empty."""
+    return demos.select("contract_id").intersect(evaluation_contracts(list(sets)))
 
 
 def predict(items: DataFrame, scorer: Callable[[list[str]], list[dict]], size: str = "n_tokens", partitions: int = 8, batch: int = 16) -> DataFrame:
@@ -61,6 +70,21 @@ def trimmed(ids: Column, end_id: Column) -> Column:
     return F.when(at > 0, F.slice(ids, F.lit(1), at - 1)).otherwise(ids)
 
 
+def hit_limit(ids: Column, end_ids: list[int], most: int) -> Column:
+    """Whether an output stopped for want of room: ``most`` ids were made and the last isn't an end token."""
+    n = F.size(ids)
+    first_end = F.size(F.filter(F.transform(ids, lambda x, i: F.when(x.isin(end_ids), i)), lambda i: i.isNotNull()))
+    return (n >= most) & (first_end == 0)
+
+
+def single_token(encode: Callable[[str], list[int]], text: str) -> int:
+    """The one token of a text that a probability is read from; any other number of tokens is an error."""
+    ids = encode(text)
+    if len(ids) != 1:
+        raise ValueError(f"{text!r} has {len(ids)} tokens and not one: {ids}")
+    return ids[0]
+
+
 def two_way_softmax(yes: Column, no: Column) -> Column:
     return 1 / (1 + F.exp(no - yes))
 
@@ -98,3 +122,24 @@ def build_classification(output: Column, seq_logprob: Column, labels: list[str])
         return F.struct(r["parsed"]["label"].alias("label"), F.round(r["p"], 4).alias("confidence"), confidence_bucket(r["p"]).alias("bucket"), r["parsed"]["valid"].alias("valid"))
 
     return let(F.struct(parse_label(output, labels).alias("parsed"), F.exp(seq_logprob).alias("p")), answer)
+
+
+def respond(requests: DataFrame, task: str, scorer: Callable[[list[str]], list[dict]], labels: DataFrame, tokens: Column, model: str, disclaimer: str = "") -> DataFrame:
+    """id, error, the fields of an answer, model, disclaimer for every request (id, text, and clause_type when asking).
+
+    ``task`` is ``ask`` or ``classify``; ``labels`` has label and description, ``tokens`` counts a text's tokens. A request
+    with an error isn't scored and has no answer; the raw output stays inside. One pass scores all good requests.
+    """
+    ask = task == "ask"
+    known = labels.select(F.col("label").alias("_l"), "description")
+    met = requests.join(known, F.col("clause_type") == F.col("_l"), "left") if ask else requests
+    why = request_error(F.col("text"), tokens, MAX_EXCERPT_TOKENS if ask else MAX_CLAUSE_TOKENS, F.col("_l").isNotNull() if ask else None)
+    met = met.withColumn("error", why)
+    names = sorted(r.label for r in labels.select("label").collect())  # the fixed, short list of a service
+    prompt = P.qa_messages(F.col("text"), F.col("clause_type"), F.coalesce("description", F.lit(""))) if ask else P.classification_messages(F.col("text"), F.lit(names))
+    good = met.where(F.col("error").isNull()).select("id", P.chat_text(prompt).alias("prompt_text"), tokens.alias("n_tokens"))
+    out = met.select("id", "text", "error").join(predict(good, scorer), "id", "left")
+    answer = build_answer(F.col("text"), F.col("output"), F.col("p_present")) if ask else build_classification(F.col("output"), F.col("seq_logprob"), names)
+    fields = ("present", "confidence", "bucket", "p_present", "quotes", "all_verified", "valid") if ask else ("label", "confidence", "bucket", "valid")
+    out = out.withColumn("a", F.when(F.col("error").isNull(), answer))
+    return out.select("id", "error", *(F.col(f"a.{f}").alias(f) for f in fields), F.lit(model).alias("model"), F.lit(disclaimer).alias("disclaimer"))

@@ -85,8 +85,10 @@ def span_tokens(spans: DataFrame, arrays: DataFrame, key: str = "doc_id") -> Dat
 
 
 def window_edges(first_token: Column, width: int) -> tuple[Column, Column]:
-    """Start and end of a window of ``width`` tokens from ``first_token``, by the arrays ``ts`` and ``te`` of the row."""
-    return F.get("ts", first_token), F.get("te", F.least(first_token + width, F.size("te")) - 1)
+    """Start and end of a window of ``width`` tokens from ``first_token``, by the arrays ``ts`` and ``te`` of the row; null for
+    null."""
+    last = F.when(first_token.isNotNull(), F.least(first_token + width, F.size("te")) - 1)
+    return F.get("ts", first_token), F.get("te", last)
 
 
 def positive_start(first: Column, last: Column, n: Column, width: int, draw: Column) -> Column:

@@ -56,6 +56,22 @@ def normalized(text: str) -> str:
     return f"regexp_replace(regexp_replace({text}, '[{WS}]*\\n[{WS}]*', chr(10), 'g'), '[{no_newline}]+', ' ', 'g')"
 
 
+def _mapped(p: str) -> str:
+    ws = f"regexp_matches(substr(raw, {p}::INT, 1), '^[{WS}]$') AND regexp_matches(substr(raw, {p}::INT + 1, 1), '^[{WS}]$')"
+    return f"(length(regexp_replace(substr(raw, 1, {p}::INT), '[{WS}]+', ' ', 'g')) - CASE WHEN {p} > 0 AND {ws} THEN 1 ELSE 0 END)"
+
+
+def remapped_sql(messy: str, columns: str, select: str) -> str:
+    """SQL over ``f``: benchmark passages in documents made messy (``messy`` of a text), with the ends s and e2 of where they
+    lie in the normalised text ``norm``; ``columns`` of documents come along."""
+    names = "".join(f"{c.split(' AS ')[-1].strip()}, " for c in columns.split(",") if c.strip())
+    return f"""WITH r AS (SELECT d.doc_id, b.item_id, {columns}{messy.format('d.text')} AS raw, {messy.format('b.text')} AS q FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+h AS (SELECT *, strpos(raw, q) - 1 AS s FROM r WHERE contains(raw, q)),
+m AS (SELECT doc_id, item_id, {names}{normalized('raw')} AS norm, {_mapped('s')} AS s, {_mapped('(s + length(q))')} AS e FROM h),
+c AS (SELECT doc_id, item_id, {names}norm, s + CASE WHEN s < e AND regexp_matches(substr(norm, s + 1, 1), '^[{WS}]$') THEN 1 ELSE 0 END AS s, e FROM m),
+f AS (SELECT *, e - CASE WHEN s < e AND regexp_matches(substr(norm, e, 1), '^[{WS}]$') THEN 1 ELSE 0 END AS e2 FROM c) {select}"""
+
+
 #: Passages of the benchmark where they stand in documents: spans with the source as category.
 SPANS_SQL = """hits AS (SELECT d.doc_id, b.item_id, d.source AS category, (strpos(d.text, b.text) - 1)::INT AS s, length(b.text) AS n, d.text FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 spans AS (SELECT doc_id, item_id, category, s AS "start", (s + n)::INT AS "end", text FROM hits)"""

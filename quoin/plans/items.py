@@ -15,7 +15,7 @@ def qa_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, category, neg_type, excerpt, present, evidence, output, p_present; seven kinds of output by id."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").withColumnRenamed("doc_id", "id")
     present, quote = F.col("quality") == 1, F.substring("text", 11, 60)
-    d = d.select("id", F.col("source").alias("category"), F.when(~present, F.when(F.col("id") % 2 == 0, "same_contract").otherwise("other_contract")).alias("neg_type"), F.left("text", F.lit(400)).alias("excerpt"), present.alias("present"), F.when(present, F.array(quote)).otherwise(F.array().cast("array<string>")).alias("evidence"), quote.alias("_q"))
+    d = d.select("id", F.col("source").alias("category"), F.when(~present, F.when(F.col("id") % 2 == 0, "same_contract").otherwise("other_contract")).alias("neg_type"), F.col("text").alias("excerpt"), present.alias("present"), F.when(present, F.array(quote)).otherwise(F.array().cast("array<string>")).alias("evidence"), quote.alias("_q"))
     said = F.when(draw_number("said", "id") % 4 != 0, F.col("present")).otherwise(~F.col("present"))
     shown = F.when(draw_number("quote", "id") % 5 == 0, F.lit("zzqx wwvk yyqj")).otherwise(F.col("_q"))
     listed = F.to_json(F.struct(said.alias("present"), F.array(shown).alias("evidence")))
@@ -31,7 +31,7 @@ def qa_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same items scored, from the rules that made their outputs.
-QA_SQL = f"""WITH base AS (SELECT d.doc_id AS id, d.source AS category, l.quality = 1 AS present, left(d.text, 400) AS excerpt, substr(d.text, 11, 60) AS q0, d.doc_id % 7 AS kind,
+QA_SQL = f"""WITH base AS (SELECT d.doc_id AS id, d.source AS category, l.quality = 1 AS present, d.text AS excerpt, substr(d.text, 11, 60) AS q0, d.doc_id % 7 AS kind,
  {draw("'said-' || d.doc_id::VARCHAR")} % 4 <> 0 AS agrees, {draw("'quote-' || d.doc_id::VARCHAR")} % 5 = 0 AS bad,
  CASE WHEN d.doc_id % 11 <> 0 THEN {draw("'p-' || d.doc_id::VARCHAR")} / 4294967296.0::DOUBLE END AS p FROM documents d JOIN labels l USING (doc_id)),
 told AS (SELECT *, CASE WHEN agrees THEN present ELSE NOT present END AS said, CASE WHEN bad THEN 'zzqx wwvk yyqj' ELSE q0 END AS q FROM base),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scoring_queries, span_queries, text_queries  # noqa: F401  they register themselves
+from . import record_queries, scoring_queries, span_queries, text_queries  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

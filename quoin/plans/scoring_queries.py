@@ -83,7 +83,7 @@ def calibration(spark, sf_dir):
     return c.select("n_with_confidence", *(r6(x).alias(x) for x in ("mean_confidence", "brier", "ece", "auroc")))
 
 
-_BOOT = 200
+_BOOT = 1000
 
 
 @query(f"""{CLS_SQL}, num AS (SELECT row_number() OVER (ORDER BY id) - 1 AS j, correct FROM cls), sz AS (SELECT count(*) AS n FROM num),
@@ -159,9 +159,9 @@ def resume_todo(spark, sf_dir):
     return A.todo(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
 
 
-@query("SELECT contract_id FROM (SELECT DISTINCT doc_id AS contract_id FROM documents WHERE doc_id % 3 = 0) INTERSECT SELECT doc_id FROM labels WHERE toxic = 1")
+@query("SELECT doc_id AS contract_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE toxic = 1")
 def leakage_check(spark, sf_dir):
-    demos = read(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("contract_id"))
+    demos = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("contract_id"))
     return A.leaks(demos, read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("contract_id")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sampling as S
 from ..operators import spans as N
-from .base import SPANS_SQL, TOKENS_SQL, big, draw, query, read, spans
+from .base import SPANS_SQL, TOKENS_SQL, big, draw, query, read, remapped_sql, spans
 
 W = 50
 
@@ -92,10 +92,10 @@ def balanced_sample(spark, sf_dir):
     return S.balanced_sample(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 50, "bal")
 
 
-@query("""SELECT source, good, doc_id, rank::BIGINT AS rank FROM (SELECT d.source, l.quality = 1 AS good, d.doc_id, row_number() OVER (PARTITION BY d.source, l.quality = 1 ORDER BY md5('fs-' || d.doc_id::VARCHAR), d.doc_id) AS rank FROM documents d JOIN labels l USING (doc_id) WHERE length(d.text) <= 4000)
+@query("""SELECT source, good, doc_id, rank::BIGINT AS rank FROM (SELECT d.source, l.quality = 1 AS good, d.doc_id, row_number() OVER (PARTITION BY d.source, l.quality = 1 ORDER BY md5('fs-' || d.doc_id::VARCHAR), d.doc_id) AS rank FROM documents d JOIN labels l USING (doc_id))
 WHERE rank <= CASE WHEN good THEN 2 ELSE 1 END""")
 def fewshot_pick(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.length("text") <= 4000).join(read(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("good"), "doc_id")
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("good"), "doc_id")
     return S.first_k(d, ["source", "good"], "doc_id", 2, "fs").where("good or rank = 1").select("source", "good", "doc_id", big("rank").alias("rank"))
 
 
@@ -136,12 +136,12 @@ def label_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(split.alias("split"), "lang").agg(F.count(F.lit(1)).alias("n"), big(F.max("n_chars")).alias("longest"), F.countDistinct("source").alias("n_sources"))
 
 
-@query("""WITH d AS (SELECT doc_id, source, length(text) AS n, row_number() OVER (PARTITION BY left(text, 40) ORDER BY doc_id) > 1 AS dup FROM documents),
+@query("""WITH d AS (SELECT doc_id, source, length(text) AS n, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS dup FROM documents),
 r AS (SELECT CASE WHEN n > 6000 THEN 'span_too_long' WHEN doc_id % 5 = 0 THEN 'cut_by_window_edge' WHEN n > 1500 THEN 'evidence_too_long' WHEN dup THEN 'duplicate' ELSE 'used' END AS reason FROM d) SELECT reason, count(*)::BIGINT AS n FROM r GROUP BY reason""")
 def skip_reasons(spark, sf_dir):
     from pyspark.sql import Window
 
-    dup = F.row_number().over(Window.partitionBy(F.left("text", F.lit(40))).orderBy("doc_id")) > 1
+    dup = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id")) > 1
     d = read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), dup.alias("dup"))
     why = N.skip_reason(F.col("n") > 6000, F.col("doc_id") % 5 == 0, F.col("n"), F.col("dup"))
     return d.select(F.coalesce(why, F.lit("used")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -171,7 +171,10 @@ def first_of_duplicates(spark, sf_dir):
     return S.first_of_duplicates(read(spark, sf_dir, "documents"), ["source", "lang"], ["n_chars", "doc_id"]).select("source", "lang", "doc_id")
 
 
-@query()
+_MESSY = "replace({}, '. ', '. ' || chr(9) || ' ')"
+
+
+@query(remapped_sql(_MESSY, "d.source AS category, ", """SELECT DISTINCT doc_id, category, 'from ' || category AS description, s::BIGINT AS span_start, e2::BIGINT AS span_end, substr(norm, s + 1, e2 - s) AS quoted, true AS is_normal FROM f WHERE e2 > s"""))
 def corpus_parse(spark, sf_dir):
     """Documents as one nested corpus with messy white space, parsed back to spans."""
     s = spans(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(". \t ")).alias("raw")), "doc_id")

@@ -10,7 +10,7 @@ from ..operators import prompts as P
 from ..operators import sampling as S
 from ..operators import spans as N
 from ..operators.grounding import grounding_join
-from .base import SPANS_SQL, TOKENS_SQL, WS, big, draw, folded, found, normalized, query, r6, read, spans
+from .base import SPANS_SQL, TOKENS_SQL, WS, big, draw, folded, found, normalized, query, r6, read, remapped_sql, spans
 from .items import LABELS, qa_items, QA_SQL
 
 
@@ -37,14 +37,17 @@ def grounding_altered(spark, sf_dir):
     return b.select("item_id", F.explode(F.array(*rows)).alias("v")).select("item_id", "v.variant", T.is_grounded(F.col("v.q"), T.fold(F.col("v.e"))).alias("grounded"))
 
 
-@query(f"""WITH p AS (SELECT item_id, {folded("left(d.text, 300)")} AS a, {folded('b.text')} AS g FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-ca AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split(a, ' ')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
-cg AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(string_split(g, ' ')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
-o AS (SELECT item_id, sum(least(ca.n, cg.n)) AS shared FROM ca JOIN cg USING (item_id, w) GROUP BY item_id)
-SELECT p.item_id, round(coalesce(2.0::DOUBLE * o.shared / ((SELECT sum(n) FROM ca WHERE ca.item_id = p.item_id) + (SELECT sum(n) FROM cg WHERE cg.item_id = p.item_id)), 0), 6)::DOUBLE AS f1 FROM p LEFT JOIN o USING (item_id)""")
+@query(f"""WITH g0 AS (SELECT item_id, text, {folded('text')} AS g FROM benchmark), p AS (SELECT doc_id, item_id, {folded("d.text")} AS a, g FROM documents d JOIN g0 b ON {found('g', folded('d.text'))} WHERE length(g) >= 3),
+ca AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(a, ' ')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
+cg AS (SELECT doc_id, item_id, w, count(*) AS n FROM (SELECT doc_id, item_id, unnest(string_split(g, ' ')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
+o AS (SELECT doc_id, item_id, sum(least(ca.n, cg.n)) AS shared FROM ca JOIN cg USING (doc_id, item_id, w) GROUP BY ALL),
+na AS (SELECT doc_id, item_id, sum(n) AS n FROM ca GROUP BY ALL), ng AS (SELECT doc_id, item_id, sum(n) AS n FROM cg GROUP BY ALL)
+SELECT doc_id, item_id, round(2.0::DOUBLE * shared / (na.n + ng.n), 6)::DOUBLE AS f1 FROM o JOIN na USING (doc_id, item_id) JOIN ng USING (doc_id, item_id)""")
 def token_f1_pairs(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(300)).alias("a"))
-    return read(spark, sf_dir, "benchmark").join(d, "item_id").select("item_id", r6(T.token_f1(F.col("a"), F.col("text"))).alias("f1"))
+    """F1 of whole documents and the passages grounded in them."""
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    pairs = grounding_join(d, b).join(d.select("doc_id", F.col("text").alias("a")), "doc_id").join(b.select("item_id", "text"), "item_id")
+    return pairs.select("doc_id", "item_id", r6(T.token_f1(F.col("a"), F.col("text"))).alias("f1"))
 
 
 _RAW = "replace(replace(text, '. ', '.' || chr(9) || chr(160) || ' '), chr(10), ' ' || chr(10) || chr(11))"
@@ -56,17 +59,7 @@ def ws_normalize(spark, sf_dir):
     return d.select("doc_id", big(F.length("t")).alias("n_chars_after"), F.md5("t").alias("digest"))
 
 
-def _mapped(p: str) -> str:
-    ws = f"regexp_matches(substr(raw, {p}::INT, 1), '^[{WS}]$') AND regexp_matches(substr(raw, {p}::INT + 1, 1), '^[{WS}]$')"
-    return f"(length(regexp_replace(substr(raw, 1, {p}::INT), '[{WS}]+', ' ', 'g')) - CASE WHEN {p} > 0 AND {ws} THEN 1 ELSE 0 END)"
-
-
-@query(f"""WITH r AS (SELECT d.doc_id, b.item_id, d.text AS t0, b.text AS b0, {_RAW.replace('text', 'd.text')} AS raw, {_RAW.replace('text', 'b.text')} AS q FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
-h AS (SELECT *, strpos(raw, q) - 1 AS s FROM r WHERE contains(raw, q)),
-m AS (SELECT doc_id, item_id, {normalized('raw')} AS norm, {_mapped('s')} AS s, {_mapped('(s + length(q))')} AS e FROM h),
-c AS (SELECT doc_id, item_id, norm, s + CASE WHEN s < e AND regexp_matches(substr(norm, s + 1, 1), '^[{WS}]$') THEN 1 ELSE 0 END AS s, e FROM m)
-SELECT doc_id, item_id, s::BIGINT AS span_start, (e - CASE WHEN s < e AND regexp_matches(substr(norm, e, 1), '^[{WS}]$') THEN 1 ELSE 0 END)::BIGINT AS span_end,
- substr(norm, s + 1, e - CASE WHEN s < e AND regexp_matches(substr(norm, e, 1), '^[{WS}]$') THEN 1 ELSE 0 END - s) AS quoted FROM c""")
+@query(remapped_sql(_RAW.replace("text", "{}"), "", """SELECT doc_id, item_id, s::BIGINT AS span_start, e2::BIGINT AS span_end, substr(norm, s + 1, e2 - s) AS quoted FROM f"""))
 def span_remap(spark, sf_dir):
     d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     j = grounding_join(d, b).join(d.select("doc_id", F.col("text").alias("t0"), F.expr(_RAW).alias("raw")), "doc_id").join(b.select("item_id", F.col("text").alias("b0"), F.expr(_RAW).alias("q")), "item_id")
@@ -116,13 +109,13 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_ASK = f"{_q(P.ASK[0])} || left(d.text, 500) || {_q(P.ASK[1])} || d.source || {_q(P.ASK[2])} || CASE WHEN d.doc_id % 2 = 0 THEN 'Category definition: from ' || d.lang || chr(10) ELSE '' END || {_q(P.ASK[3])}"
-_CLS = f"{_q(P.CLASSIFY[0])} || '- ' || {' || chr(10) || ' .join(_q(x) if i == 0 else _q('- ' + x) for i, x in enumerate(LABELS))} || {_q(P.CLASSIFY[1])} || left(d.text, 500) || {_q(P.CLASSIFY[2])}"
+_ASK = f"{_q(P.ASK[0])} || d.text || {_q(P.ASK[1])} || d.source || {_q(P.ASK[2])} || CASE WHEN d.doc_id % 2 = 0 THEN 'Category definition: from ' || d.lang || chr(10) ELSE '' END || {_q(P.ASK[3])}"
+_CLS = f"{_q(P.CLASSIFY[0])} || '- ' || {' || chr(10) || ' .join(_q(x) if i == 0 else _q('- ' + x) for i, x in enumerate(LABELS))} || {_q(P.CLASSIFY[1])} || d.text || {_q(P.CLASSIFY[2])}"
 
 
 @query(f"""SELECT d.doc_id, md5({_q(P.SYSTEM)} || CASE WHEN l.toxic = 1 THEN {_CLS} ELSE {_ASK} END) AS prompt_digest, CASE WHEN l.toxic = 1 THEN d.lang ELSE '{{"present":' || CASE WHEN l.quality = 1 THEN 'true' ELSE 'false' END || ',"evidence":[' || CASE WHEN l.quality = 1 THEN '"q"' ELSE '' END || ']}}' END AS completion FROM documents d JOIN labels l USING (doc_id)""")
 def record_prompts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").withColumn("excerpt", F.left("text", F.lit(500)))
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").withColumn("excerpt", F.col("text"))
     about = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("from "), F.col("lang"))).otherwise("")
     task = F.when(F.col("toxic") == 1, "classification").otherwise("qa")
     target = P.qa_target(F.col("quality") == 1, F.array(F.lit("q")))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import shutil
+import tomllib
+import urllib.request
+import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .categories import LABELS
+
 CORPUS = (
     "data array<struct<title: string, paragraphs: array<struct<context: string, qas: array<struct<question: string, "
     "answers: array<struct<text: string, answer_start: int>>>>>>>>"
@@ -76,6 +84,73 @@ def write_json(value: object, path: str) -> None:
     Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
 
 
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """What a run says of itself (a small JSON object), empty if there is none."""
+    try:
+        rows = spark.read.text(path, wholetext=True).collect()
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e):
+            return {}
+        raise
+    return json.loads("\n".join(r.value for r in rows))
+
+
+def load_config(folder: str, name: str) -> dict:
+    """A settings file by name, with or without its ending: JSON, TOML, or YAML where a reader for it is installed."""
+    endings = (".json", ".toml", ".yaml", ".yml")
+    names = [name] if name.endswith(endings) else [name + e for e in endings]
+    for path in (Path(folder) / n for n in names):
+        if path.exists():
+            text = path.read_text(encoding="utf-8")
+            if path.suffix == ".json":
+                return json.loads(text)
+            if path.suffix == ".toml":
+                return tomllib.loads(text)
+            import yaml
+
+            return yaml.safe_load(text)
+    raise FileNotFoundError(f"no settings {name} in {folder}")
+
+
+def categories(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """pos, label, description in order of the list: of the JSON file ``path``, or the names packaged here."""
+    told = json.loads(Path(path).read_text(encoding="utf-8")) if path else {"labels": LABELS}
+    about = told.get("descriptions", {})
+    return spark.createDataFrame([(i, x, about.get(x, "")) for i, x in enumerate(told["labels"])], "pos int, label string, description string")
+
+
+def download(url: str, path: str, block: int = 1 << 20, timeout: float = 60) -> None:
+    """Fetches a file block by block next to its place, and moves it there when it is whole."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(f"{target.name}.{uuid.uuid4().hex}.part")
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as source, part.open("wb") as out:
+            shutil.copyfileobj(source, out, block)
+        os.replace(part, target)
+    finally:
+        part.unlink(missing_ok=True)
+
+
+def fetch_member(url: str, archive: str, member: str, target: str, sha256: str | None = None, force: bool = False) -> str:
+    """The first file of a zip archive whose name ends in ``member``, at ``target``; what is there already is used. An
+    archive with another digest is an error."""
+    if force or not Path(archive).exists():
+        download(url, archive)
+    with open(archive, "rb") as f:
+        got = hashlib.file_digest(f, "sha256").hexdigest()
+    if sha256 and got != sha256:
+        raise ValueError(f"{archive} has the digest {got} and not {sha256}")
+    if force or not Path(target).exists():
+        with zipfile.ZipFile(archive) as z:
+            found = [n for n in z.namelist() if n.endswith(member)]
+            if not found:
+                raise ValueError(f"nothing in {archive} ends in {member}")
+            with z.open(found[0]) as source, open(target, "wb") as out:
+                shutil.copyfileobj(source, out)
+    return target
+
+
 def load_env(path: str, env: dict | None = None) -> dict:
     """KEY=VALUE lines; blanks and comments are skipped and what is set already wins."""
     env = os.environ if env is None else env
