@@ -10,7 +10,20 @@ lines AS (
     FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)))
 """
 
+_CONTENT_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_CONTENT_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {_CONTENT_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS t FROM (SELECT item_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM d JOIN (SELECT DISTINCT n FROM bw) ON len(w) >= n)),
+hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.t = bw.t),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS names FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op7_line_dedup": f"""
 WITH {_LINES},
 common AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
