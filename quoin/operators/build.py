@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import cut
 from . import prompts as P
 from . import sampling as S
 from . import spans as N
@@ -66,9 +67,9 @@ def qa_set(positives: DataFrame, spans: DataFrame, tiles: DataFrame, cfg: Config
     """contract_id, category, ws, we, present, evidence, neg_type of one split: balanced positives and matched negatives."""
     n_pos = round(n * cfg.present_ratio)  # half to even
     used = positives.where("reason is null").withColumn("pos_id", F.concat_ws("/", "contract_id", "category", F.col("start").cast("string"), F.col("end").cast("string")))
-    picked = S.balanced_sample(used, "category", "pos_id", n_pos, seed)
+    picked = cut(S.balanced_sample(used, "category", "pos_id", n_pos, seed))
     cats = spans.select("contract_id", "category").distinct()
-    hard = N.free_windows(tiles.join(cats, "contract_id"), spans, ["contract_id", "category"]).select("contract_id", "category", "tile")
+    hard = cut(N.free_windows(tiles.join(cats, "contract_id"), spans, ["contract_id", "category"]).select("contract_id", "category", "tile"))
     negatives = S.matched_negatives(picked.select("pos_id", "contract_id", "category"), tiles.select("contract_id", "tile"), hard, cats, seed, cfg.hard_negative_ratio)
     negatives = negatives.orderBy(S.draw_key(seed, "pos_id")).limit(n - n_pos).withColumnRenamed("neg_contract_id", "contract_id").join(tiles, ["contract_id", "tile"])
     none = F.array().cast("array<string>")
@@ -87,8 +88,10 @@ def build(contracts: DataFrame, spans: DataFrame, descriptions: DataFrame, label
     splits = S.stratified_split(sets, list(cfg.fractions), cfg.seed).withColumnRenamed("item_id", "contract_id")
     toks = N.token_arrays(contracts, "contract_id")
     tiles = N.tiles(toks, cfg.window_tokens, "contract_id")
-    items = classification_items(contracts, own, rarity, cfg)
-    positives = qa_positives(contracts, own, toks, cfg)
+    # each is named several times below: written, so that neither plans nor work multiply
+    splits, tiles = cut(splits), cut(tiles)
+    items = cut(classification_items(contracts, own, rarity, cfg))
+    positives = cut(qa_positives(contracts, own, toks, cfg))
     out = None
     for split, (n_cls, n_qa) in cfg.sizes.items():
         part = splits.where(F.col("split") == split).select("contract_id")
@@ -99,11 +102,12 @@ def build(contracts: DataFrame, spans: DataFrame, descriptions: DataFrame, label
         qa = qa_set(inside(positives), inside(own), inside(tiles), cfg, n_qa, seed).join(contracts, "contract_id").join(descriptions, "category", "left")
         qa = qa.select(F.lit("qa").alias("task"), "contract_id", "category", N.quote(F.col("text"), F.col("ws"), F.col("we")).alias("excerpt"), "present", "evidence", "neg_type", "description")
         both = cls.unionByName(qa, allowMissingColumns=True).withColumn("split", F.lit(split))
+        both = cut(both)
         out = both if out is None else out.unionByName(both)
     verbatim = F.forall(F.coalesce("evidence", F.array().cast("array<string>")), lambda q: F.contains(F.col("excerpt"), q))
     out = out.withColumn("present", F.when(verbatim, F.col("present")).otherwise(F.raise_error(F.lit("evidence isn't in its excerpt")).cast("boolean")))
     prompt, completion = P.attach(F.col("task"), P.classification_messages(F.col("clause"), F.lit(kept)), P.qa_messages(F.col("excerpt"), F.col("category"), F.coalesce("description", F.lit(""))), F.col("target_label"), P.qa_target(F.col("present"), F.col("evidence")))
     out = out.withColumn("prompt", prompt).withColumn("completion", completion).withColumn("n_tokens", P.count_tokens(F.col("prompt"), F.col("completion")))
     key = F.md5(P.contents(F.col("prompt"), F.col("completion")))
-    out = S.with_ids(out, F.concat_ws("-", "split", "task"), ["split", "task"], key, ["contract_id"]).where(F.col("n_tokens") <= cfg.max_tokens)
-    return S.ranked(out, ["split"], S.draw_key(cfg.seed, "id"), ["id"]).withColumnRenamed("_rank", "pos").drop("description", "_size")
+    out = S.with_ids(cut(out.withColumn("key", key)), F.concat_ws("-", "split", "task"), ["split", "task"], F.col("key"), ["contract_id"]).drop("key").where(F.col("n_tokens") <= cfg.max_tokens)
+    return S.ranked(cut(out), ["split"], S.draw_key(cfg.seed, "id"), ["id"]).withColumnRenamed("_rank", "pos").drop("description", "_size")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import cut
+
 
 def draw_key(seed: str, *keys: Column | str) -> Column:
     """The text that orders a draw."""
@@ -82,7 +84,7 @@ def matched_negatives(positives: DataFrame, tiles: DataFrame, hard: DataFrame, h
     numbered = hard.withColumn("k", F.row_number().over(Window.partitionBy("contract_id", "category").orderBy(draw_key(seed, "tile"), "tile")) - 1)
     n_hard = hard.groupBy("contract_id", "category").agg(F.count(F.lit(1)).alias("n_hard"))
     n_tiles = tiles.groupBy("contract_id").agg(F.count(F.lit(1)).alias("n_tiles"))
-    owners = ranked(n_tiles.withColumn("_all", F.lit(1)), ["_all"], draw_key(seed, "contract_id"), ["contract_id"]).select("contract_id", "n_tiles", F.col("_rank").alias("at"), F.col("_size").alias("n"))
+    owners = cut(ranked(n_tiles.withColumn("_all", F.lit(1)), ["_all"], draw_key(seed, "contract_id"), ["contract_id"]).select("contract_id", "n_tiles", F.col("_rank").alias("at"), F.col("_size").alias("n")))
     # holders of a category in order of place: ``free`` contracts without it come before, equal for those side by side
     by_category = Window.partitionBy("category")
     places = held.join(owners, "contract_id").withColumn("free", F.col("at") - F.row_number().over(by_category.orderBy("at")) + 1)
@@ -92,7 +94,7 @@ def matched_negatives(positives: DataFrame, tiles: DataFrame, hard: DataFrame, h
     p = positives.join(n_hard, ["contract_id", "category"], "left").join(n_easy, "category", "left").na.fill(0, ["n_hard", "n_easy"])
     p = p.withColumn("wants_hard", draw_number(f"{seed}-coin", "pos_id") < F.lit(hard_ratio * 4294967296))
     kind = F.when((F.col("n_hard") > 0) & (F.col("wants_hard") | (F.col("n_easy") == 0)), "same_contract").when(F.col("n_easy") > 0, "other_contract")
-    p = p.withColumn("neg_type", kind).withColumn("draw", draw_number(seed, "pos_id"))
+    p = cut(p.withColumn("neg_type", kind).withColumn("draw", draw_number(seed, "pos_id")))  # it is named twice
     near = p.where("neg_type = 'same_contract'").withColumn("k", F.pmod("draw", F.greatest("n_hard", F.lit(1)))).join(numbered, ["contract_id", "category", "k"])
     near = near.select("pos_id", "category", "neg_type", F.col("contract_id").alias("neg_contract_id"), "tile")
     far = p.where("neg_type = 'other_contract'").withColumn("k", F.pmod("draw", F.greatest("n_easy", F.lit(1))))

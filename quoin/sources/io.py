@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import shutil
+import tempfile
 import tomllib
 import urllib.request
 import uuid
@@ -23,6 +24,20 @@ CORPUS = (
 )
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to ``spark.checkpoint.dir`` (a temporary folder on one machine, where none is set) and read back:
+    what names it several times neither plans nor works it out again, and a lost executor costs no more than this."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quoin-")
+    path = f"{base}/quoin/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Nested JSON documents, one a file."""
     return spark.read.schema(CORPUS).option("multiLine", True).json(path)
