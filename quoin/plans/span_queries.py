@@ -184,5 +184,5 @@ def corpus_parse(spark, sf_dir):
     docs = s.groupBy("doc_id", "raw").agg(F.collect_list(qa).alias("qas"))
     data = docs.select(F.array(F.struct(F.col("doc_id").cast("string").alias("title"), F.array(F.struct(F.col("raw").alias("context"), "qas")).alias("paragraphs"))).alias("data"))
     contracts, found, about = N.parse_corpus(data)
-    out = found.join(contracts, "contract_id").join(F.broadcast(about), "category")
+    out = found.join(contracts, "contract_id").join(about, "category")
     return out.select(F.col("contract_id").cast("long").alias("doc_id"), "category", "description", big("start").alias("span_start"), big("end").alias("span_end"), N.quote(F.col("text"), F.col("start"), F.col("end")).alias("quoted"), T.normalize_ws(F.col("text")).eqNullSafe(F.col("text")).alias("is_normal"))
