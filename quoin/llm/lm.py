@@ -14,7 +14,7 @@ the driver, which holds only the table of weights, steps along the gradient scal
 Counts cover all training tokens and stay distributed. The ``TABLE`` most frequent tokens are broadcast; documents list
 their other tokens, which meet the counts in a join. Texts themselves are never shuffled.
 
-Scale: a task sends at most its distinct words and, in a round, 8 MB of sums with a full table. A frequent token never reaches the join,
+Scale: a task sends at most the distinct words of its batches and, in a round, 8 MB of sums with a full table. A frequent token never reaches the join,
 so its keys are even, but for tokens that occur in held-out texts alone; Spark splits such skew.
 
 Edge cases: null is empty text, which is a single end token; with nothing to train on, all tokens are unknown. A null
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +44,15 @@ RATE = 0.6
 SMOOTH = 3.0
 _BLOCK_ROWS = 128
 _CHUNK = 1 << 16
-_FLUSH = 200_000
+_PART = 1 << 12
 END = b""  # words are never empty
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
+def tokens(column: pa.Array) -> pa.ListArray:
+    """The tokens of each text, as Arrow splits at ASCII white space: a blank after the last word makes the end, and a text
+    without words is the end alone."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(text, ""), "", pc.binary_join_element_wise(text, " ", "")))
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -61,21 +65,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """word, n over all training texts; the empty word is the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for text in batch.column(0).slice(at, 64).to_pylist():
-                    for word in tokens(text):
-                        seen[word] = seen.get(word, 0) + 1
-                if len(seen) >= _FLUSH:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            seen = pc.value_counts(tokens(batch.column(0)).flatten())
+            yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.binary()), seen.field("counts")], names=["word", "n"])
 
     own = _read(docs).where(~F.col("held_out")).select("text").mapInArrow(run, "word binary, n long")
     return own.groupBy("word").agg(F.sum("n").alias("n"))
@@ -105,104 +97,151 @@ class Model:
     def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int) -> None:
         """``words`` by falling count; ``n`` and ``v``: all training tokens, and distinct ones."""
         self.n, self.v = n, v
-        self.ids = {w: i + 2 for i, w in enumerate(words)}  # 0: another token, 1: before the text
-        self.counts = np.r_[0, 0, counts].astype(np.float64)
-        other = n - self.counts.sum() + 0.1 * (v - len(words) + 1)
+        self.words = pa.array(words, pa.binary())  # their ids are 2 and on; 0: another token, 1: before the text
+        self.base = np.r_[0, 0, np.log10(counts + 0.1)]
+        other = n - counts.sum() + 0.1 * (v - len(words) + 1)
         self.rest = math.log10(other)  # what smoothed counts of tokens outside the table sum to
-        self.above, self.branch, classes = tree(np.r_[other, self.counts[1:]])
-        self.first = len(self.counts)  # the number of the first class
-        mass = np.r_[other, self.counts[1:], np.zeros(classes)]
+        self.above, self.branch, classes = tree(np.r_[other, 0, counts])
+        self.first = len(self.base)  # the number of the first class
+        mass = np.r_[other, 0, counts, np.zeros(classes)]
         own = np.zeros((classes, WIDTH))
         for i in [*np.flatnonzero(self.above[: self.first] >= 0), *range(self.first, self.first + classes)]:  # a class comes after its parts
             if i >= self.first:
                 mass[i] = own[i - self.first].sum()
             if self.above[i] >= 0:
                 own[self.above[i] - self.first, self.branch[i]] = mass[i]
-        with np.errstate(divide="ignore"):
-            self.bias = np.where(own > 0, np.log(own / own.sum(1, keepdims=True)), -np.inf).astype(np.float32)
+        self.shares = (own / own.sum(1, keepdims=True)).astype(np.float32)  # of a class's corpus count; exp of the biases
         self.rows = max(HASHED, 1 << (4 * classes).bit_length())
-        self.weights = np.zeros((self.rows, WIDTH), np.float32)
+        self.factors = np.ones((self.rows, WIDTH), np.float32)  # exp of the weights
 
-    def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, texts: pa.ListArray | list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens, and where each text begins."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        get = self.ids.get
-        return np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
-
-    def _hash(self, tag: int, *parts: np.ndarray) -> np.ndarray:
-        h = np.uint64(tag * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        for p in parts:
-            h = (h ^ p.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.rows.bit_length() + 1)).astype(np.int64)
-
-    def layers(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """For each step up the tree: places, rows of features, classes and the branches that came."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.list_(pa.binary()))
+        found = pc.index_in(texts.flatten().cast(pa.binary()), value_set=self.words)
+        sizes = pc.list_value_length(texts).to_numpy().astype(np.int64)
+        return pc.fill_null(found, -2).to_numpy().astype(np.int64) + 2, np.cumsum(sizes) - sizes
+
+    def steps(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The steps up the tree, by parts of the tokens: which tokens; then of each step the token's place among them, rows
+        of features (3 a step), the class and the branch that came."""
         one = np.r_[1, ids[:-1]]
         two = np.r_[1, 1, ids[:-2]][: len(ids)]
         one[starts] = 1
         two[starts] = 1
         two[starts[starts + 1 < len(ids)] + 1] = 1
-        at, own = np.arange(len(ids)), ids
-        while True:
-            some = self.above[own] >= 0
-            at, own = at[some], own[some]
-            if not len(at):
-                return
-            c, x, y = self.above[own], one[at], two[at]
-            yield at, [self._hash(1, c, x), self._hash(2, c, x, y), self._hash(3, c, y)], c - self.first, self.branch[own]
-            own = c
-
-    def probabilities(self, features: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
-        x = np.take(self.weights, features[0], axis=0)
-        x += np.take(self.weights, features[1], axis=0)
-        x += np.take(self.weights, features[2], axis=0)
-        x += np.take(self.bias, classes, axis=0)
-        np.exp(x, out=x)  # no overflow: biases are logarithms of shares, and a round moves a weight by at most RATE
-        x /= (x @ np.ones(WIDTH, np.float32))[:, None]
-        return x
-
-    def gradient(self, texts: list[list[bytes]], out: np.ndarray) -> None:
-        """Adds observed and expected counts of features to ``out`` (2, WIDTH, rows)."""
-        ids, starts = self.places(texts)
-        seen = out[0].reshape(-1)
-        for _, features, classes, label in self.layers(ids, starts):
-            p = np.ascontiguousarray(self.probabilities(features, classes).T)
-            one = np.ones(len(label))
+        for i in range(0, len(ids), _CHUNK):
+            part = slice(i, min(i + _CHUNK, len(ids)))
+            at, own, found = np.arange(part.stop - i), ids[part], []
+            while len(at):
+                some = np.flatnonzero(self.above[own] >= 0)
+                at, own = at[some], own[some]
+                found.append((at, own))
+                own = self.above[own]
+            at, own = (np.concatenate(x) for x in zip(*found))
+            classes = self.above[own] - self.first
+            yield part, at, self._features(classes, one[part].astype(np.uint64)[at], two[part].astype(np.uint64)[at]), classes, self.branch[own]
+
+    def _features(self, classes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        numbers = np.arange(self.first, self.first + len(self.shares)).astype(np.uint64)
+        out = np.empty((3, len(classes)), np.int64)
+        for tag, history in ((1, (one,)), (2, (one, two)), (3, (two,))):
+            begun = _mix(np.full(len(numbers), tag * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64), numbers)
+            for i in range(0, len(classes), _PART):
+                h = np.take(begun, classes[i : i + _PART])
+                for x in history:
+                    _mix(h, x[i : i + _PART])
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h >>= np.uint64(64 - self.rows.bit_length() + 1)
+                out[tag - 1, i : i + _PART] = h
+        return out
+
+    def products(self, features: np.ndarray, classes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """By parts that stay in cache: which steps, for each branch its share times the factors of the features, and the
+        sums over branches. Probabilities are their quotients. What is given is overwritten by the next part."""
+        held = np.empty((2, _PART, WIDTH), np.float32)
+        for i in range(0, len(classes), _PART):
+            part = slice(i, min(i + _PART, len(classes)))
+            x, y = held[:, : part.stop - i]
+            np.take(self.shares, classes[part], axis=0, out=x, mode="clip")
             for f in features:
-                np.add.at(seen, label * self.rows + f, one)
-                for c in range(WIDTH):
-                    out[1, c] += np.bincount(f, weights=p[c], minlength=self.rows)
+                np.take(self.factors, f[part], axis=0, out=y, mode="clip")
+                x *= y  # no overflow: shares are at most 1, and a round moves a factor by at most exp(RATE)
+            yield part, x, np.einsum("ij->i", x)  # a product with ones would start the threads of BLAS
+
+    def gradient(self, texts: pa.ListArray | list[list[bytes]], out: np.ndarray) -> None:
+        """Adds observed and expected counts of features to ``out`` (2, rows, WIDTH)."""
+        seen, expected = out[0].reshape(-1), np.empty((self.rows, WIDTH), np.float32)
+        for _, _, features, classes, label in self.steps(*self.places(texts)):
+            p, one = np.empty((len(classes), WIDTH), np.float32), np.ones(len(classes))
+            for part, x, total in self.products(features, classes):
+                np.divide(x, total[:, None], out=p[part])
+            expected[:] = 0
+            for f in features:
+                np.add.at(seen, f * WIDTH + label, one)
+                _add_rows(expected, f, p)
+            out[1] += expected
 
     def step(self, sums: np.ndarray) -> None:
         """One update: the gradient over the larger of observed and expected counts."""
         gradient, expected = sums[:, 0], sums[:, 1]
-        self.weights += (RATE * gradient / (np.maximum(expected, expected + gradient) + SMOOTH)).astype(np.float32)
+        self.factors *= np.exp(RATE * gradient / (np.maximum(expected, expected + gradient) + SMOOTH)).astype(np.float32)
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, texts: pa.ListArray | list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text, of tokens in the table: sum of log10(c + 0.1) for the base and for the model, and how many are
         known; then how many are outside the table; and the ids."""
         ids, starts = self.places(texts)
         logs = np.zeros(len(ids))
-        for at, features, classes, label in self.layers(ids, starts):
-            p = self.probabilities(features, classes)[np.arange(len(at)), label]
-            logs[at] += np.log10(np.maximum(p, 1e-30), dtype=np.float64)
-        base = np.where(ids > 1, np.log10(self.counts[ids] + 0.1), 0)
+        for some, at, features, classes, label in self.steps(ids, starts):
+            p = np.empty(len(at))
+            for part, x, total in self.products(features, classes):
+                np.divide(x[np.arange(len(x)), label[part]], total, out=p[part])
+            logs[some] = np.bincount(at, weights=np.log10(np.maximum(p, 1e-30)), minlength=some.stop - some.start)
         add = lambda x: np.add.reduceat(x, starts)
-        return add(base), add(logs), add((self.counts[ids] > 0).astype(np.int64)), add((ids == 0).astype(np.int64)), ids
-
-
-def _chunks(column: pa.Array) -> Iterator[list[list[bytes]]]:
-    part, held = [], 0
-    for at in range(0, len(column), 64):
-        for text in column.slice(at, 64).to_pylist():
-            part.append(tokens(text))
-            held += len(part[-1])
-            if held >= _CHUNK:
-                yield part
-                part, held = [], 0
-    if part:
-        yield part
+        other = add((ids == 0).astype(np.int64))
+        return add(np.take(self.base, ids)), add(logs), np.diff(np.r_[starts, len(ids)]) - other, other, ids
+
+
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Takes ``x`` into the hashes ``h``, in place."""
+    h ^= x
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _add_rows(out: np.ndarray, rows: np.ndarray, p: np.ndarray) -> None:
+    """``out[rows] += p`` where rows repeat. What goes to one row is cut into pieces of 1, 2, 4 ... ``_PART``; pieces of one
+    size are added up together, by halves, and no row is twice among them."""
+    order = np.argsort(rows.astype(np.uint16) if len(out) <= 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    size, own = np.diff(np.r_[at, len(rows)]), rows[at]
+    length = 1
+    while length <= _PART:
+        some = np.flatnonzero(size & length if length < _PART else size >= length)
+        each = _PART // length
+        for i in range(0, len(some), each):
+            s = some[i : i + each]
+            x = np.take(p, np.take(order, at[s] + np.arange(length)[:, None]), axis=0)
+            half = length
+            while half > 1:
+                half //= 2
+                x[:half] += x[half : 2 * half]
+            out[own[s]] += x[0]
+        at[some] += length
+        size[some] -= length
+        if length < _PART or not (size >= length).any():  # what is longer has several of the largest pieces
+            length *= 2
+
+
+def _rare(texts: pa.ListArray, ids: np.ndarray, sizes: np.ndarray) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each text its tokens outside the table, and how often each is there."""
+    at = np.flatnonzero(ids == 0)
+    found = texts.flatten().take(pa.array(at)).cast(pa.binary()).dictionary_encode()
+    n = max(1, len(found.dictionary))
+    keys, times = np.unique(np.repeat(np.arange(len(texts)), sizes)[at] * n + found.indices.to_numpy(), return_counts=True)
+    begin = pa.array(np.searchsorted(keys // n, np.arange(len(texts) + 1)), pa.int32())
+    return pa.ListArray.from_arrays(begin, found.dictionary.take(pa.array(keys % n))), pa.ListArray.from_arrays(begin, pa.array(times, pa.int32()))
 
 
 def _summed(rows: DataFrame, height: int) -> np.ndarray:
@@ -243,12 +282,11 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, table: int =
         sent = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((2, WIDTH, sent.value.rows))
+            out = np.zeros((2, sent.value.rows, WIDTH))
             for batch in batches:
-                for texts in _chunks(batch.column(0)):
-                    sent.value.gradient(texts, out)
+                sent.value.gradient(tokens(batch.column(0)), out)
             out[0] -= out[1]
-            blocks = np.ascontiguousarray(out.transpose(2, 0, 1), np.float32).reshape(-1, _BLOCK_ROWS * 2 * WIDTH)
+            blocks = np.ascontiguousarray(out.transpose(1, 0, 2), np.float32).reshape(-1, _BLOCK_ROWS * 2 * WIDTH)
             some = np.flatnonzero(blocks.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[b].tobytes() for b in some], pa.binary())], names=["block", "sums"])
 
@@ -267,27 +305,17 @@ def score(docs: DataFrame, rounds: int = ROUNDS, table: int = TABLE) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = sent.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            done = 0
-            for texts in _chunks(batch.column(2)):
-                base, logs, known, other, ids = m.score(texts)
-                words, times, at = [], [], 0
-                for t in texts:
-                    rare: dict[bytes, int] = {}
-                    for j in np.flatnonzero(ids[at : at + len(t)] == 0).tolist():
-                        rare[t[j]] = rare.get(t[j], 0) + 1
-                    words.append(list(rare))
-                    times.append(list(rare.values()))
-                    at += len(t)
-                size = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + size)), batch.column(0).slice(done, size), batch.column(1).slice(done, size), pa.array([len(t) for t in texts], pa.int64()), pa.array(known),
-                        pa.array(other), pa.array(base), pa.array(logs), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())),
-                    ],
-                    names=["row_id", "doc_id", "held_out", "n_tokens", "known", "other", "base", "logs", "words", "times"],
-                )
-                done += size
-                row += size
+            texts = tokens(batch.column(2))
+            base, logs, known, other, ids = m.score(texts)
+            sizes = pc.list_value_length(texts).to_numpy().astype(np.int64)
+            words, times = _rare(texts, ids, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(row, row + len(texts))), batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(other), pa.array(base), pa.array(logs), words, times,
+                ],
+                names=["row_id", "doc_id", "held_out", "n_tokens", "known", "other", "base", "logs", "words", "times"],
+            )
+            row += len(texts)
 
     schema = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, other long, base double, logs double, words array<binary>, times array<int>"
     scored = cut(_read(docs).mapInArrow(run, schema), "scored")

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -391,6 +392,87 @@ def test_lm_context_tells_rare_words_apart(spark):
     assert sum(g > 0.3 for g in gains) > 0.8 * len(gains)
 
 
+def lm_model(words, texts):
+    counts = collections.Counter(w for t in texts for w in t)
+    top = sorted(counts, key=lambda w: (w != lm.END, -counts[w], w))[:words]
+    return lm.Model(top, np.array([counts[w] for w in top]), sum(counts.values()), len(counts))
+
+
+def test_lm_tokens():
+    texts = ["", " ", None, "a", " a  B ", "\t\n\x0b\x0c\rA\x85b \x1cX\xa0y\n", "\xc9A \u3000 z\0 ", "x" * 5000]
+    want = [[w.encode() for w in WORD.findall(lower(t or ""))] + [lm.END] for t in texts]
+    for column in (pa.array(texts), pa.array([None, *texts])[1:]):
+        got = lm.tokens(column)
+        assert [[w.encode() for w in t] for t in got.to_pylist()] == want
+        model = lm.Model([lm.END, b"a"], np.array([5, 3]), 9, 3)
+        ids, starts = model.places(got)
+        assert ids.tolist() == [{b"": 2, b"a": 3}.get(w, 0) for t in want for w in t]
+        sizes = [len(t) for t in want]
+        assert starts.tolist() == [sum(sizes[:i]) for i in range(len(sizes))]
+        words, times = lm._rare(got, ids, np.array(sizes))
+        rare = [collections.Counter(w for w in t if w not in (b"", b"a")) for t in want]
+        assert [dict(zip(*x)) for x in zip(words.to_pylist(), times.to_pylist())] == rare
+
+
+def test_lm_long_text_in_bounded_memory():
+    text = [[*(b"w%d" % (i * i % 3001) for i in range(400_000)), lm.END]]
+    model = lm_model(2000, text)
+    out = np.zeros((2, model.rows, lm.WIDTH))
+    for run in (model.score, lambda t: model.gradient(t, out)):
+        tracemalloc.start()
+        run(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80e6  # one table of all its probabilities has over 51 MB, and several were held
+
+
+def test_lm_works_in_one_thread():
+    rnd = random.Random(6)
+    texts = [[*(b"w%d" % min(int(rnd.paretovariate(0.5)), 5000) for _ in range(400)), lm.END] for _ in range(300)]
+    model = lm_model(4000, texts)
+    out = np.zeros((2, model.rows, lm.WIDTH))
+    for run in (model.score, lambda t: model.gradient(t, out)):
+        run(texts)
+        all_threads, own = time.process_time(), time.thread_time()
+        for _ in range(3):
+            run(texts)
+        all_threads, own = time.process_time() - all_threads, time.thread_time() - own
+        assert all_threads < 1.2 * own + 0.05  # threads of BLAS spin between the small products of a task
+
+
+def test_lm_gradient_against_plain_sums(monkeypatch):
+    rnd = random.Random(7)
+    texts = [[*(b"w%d" % min(int(rnd.paretovariate(0.7)), 900) for _ in range(rnd.choice((0, 1, 2, 300)))), lm.END] for _ in range(60)]
+    model = lm_model(600, texts)
+    model.factors = np.exp(np.random.default_rng(8).normal(0, 0.5, model.factors.shape)).astype(np.float32)
+    monkeypatch.setattr(lm, "_PART", 64)  # rows with several of the largest pieces
+    for chunk in (1 << 16, 1000):
+        monkeypatch.setattr(lm, "_CHUNK", chunk)  # a text over several parts
+        got, want, logs = np.zeros((2, model.rows, lm.WIDTH)), np.zeros((2, model.rows, lm.WIDTH)), 0.0
+        model.gradient(texts, got)
+        mask, numbers = (1 << 64) - 1, {w: i + 2 for i, w in enumerate(model.words.to_pylist())}
+        for text in texts:
+            ids = [1, 1, *(numbers.get(w, 0) for w in text)]
+            for two, one, own in zip(ids, ids[1:], ids[2:]):
+                while model.above[own] >= 0:
+                    c, rows = int(model.above[own]), []
+                    for tag, parts in ((1, (c, one)), (2, (c, one, two)), (3, (c, two))):
+                        h = tag * 0x9E3779B97F4A7C15 & mask
+                        for x in parts:
+                            h = (h ^ x) * 0xD6E8FEB86659FD93 & mask
+                            h ^= h >> 32
+                        rows.append((h * 0x9E3779B97F4A7C15 & mask) >> (64 - model.rows.bit_length() + 1))
+                    p = model.shares[c - model.first].astype(float) * model.factors[rows].astype(float).prod(0)
+                    p /= p.sum()
+                    for r in rows:
+                        want[0, r, model.branch[own]] += 1
+                        want[1, r] += p
+                    logs += math.log10(p[model.branch[own]])
+                    own = c
+        assert (got[0] == want[0]).all() and np.allclose(got[1], want[1], rtol=1e-5, atol=1e-5)
+        assert math.isclose(model.score(texts)[1].sum(), logs, rel_tol=1e-6)
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     grams = collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
