@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,19 @@ def fold(text: Column) -> Column:
     return F.btrim(F.regexp_replace(plain, "[^0-9a-z]+", " "), F.lit(" "))
 
 
+# What ``fold`` does to bytes: A-Z become a-z, all but letters and digits blanks; these characters come to hold ASCII ones.
+_FOLD_TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
+_FOLD_BYTES = {c.encode(): plain.encode() for c, plain in {**_FOLDS, "\u0130": "i ", "\u212a": "k"}.items()}
+_SPECIAL = re.compile(b"|".join(_FOLD_BYTES))
+
+
+def fold_bytes(text: bytes) -> bytes:
+    """``fold`` of UTF-8, outside the engine."""
+    if not text.isascii():
+        text = _SPECIAL.sub(lambda m: _FOLD_BYTES[m[0]], text)
+    return b" ".join(text.translate(_FOLD_TABLE).split())
+
+
 def label_key(text: Column) -> Column:
     """White space collapsed and trimmed, case folded."""
     single = {c: f for c in map(chr, range(0x80, 0x3000)) if len(f := c.casefold()) == 1 and f != c.lower() and len(c.lower()) == 1}
