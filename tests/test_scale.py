@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.operators import grounding as G
+from quoin.plans.registry import ORACLES, QUERIES
 
 DOCS = [
     (1, "The rent of no 4805 is due. Paid by 日本 and the tenant", "a"), (1, "rent of no 48 is due", "b"), (None, "the tenant pays the rent", "a"), (2, None, "a"), (3, "", "a"), (4, "Übel: the rent of no 48. The tenant", "c"),
@@ -49,3 +51,30 @@ def test_bytes_fold_like_columns(spark):
     texts = [odd, "", " ", *("".join(rnd.choices(odd, k=rnd.randint(1, 30))) for _ in range(300))]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold(F.col("t")).alias("f")).collect()
     assert [r.f for r in got] == [T.fold_bytes(r.t.encode()).decode() for r in got]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Passages that begin or end inside numbers and words, or hold few letters."""
+    at = tmp_path_factory.mktemp("tables")
+    filler = " ".join(f"w{i}" for i in range(130))
+    bench = ["the rent of no. 48", "5 is. The rent", "日本. 語", "enant pays. All of the rent that is owed by en", "x. y"]
+    docs = [(i, f"{filler if i % 2 else ''} {i}{bench[i % 5]}{i} {filler} {bench[(i + 1) % 5]}05", f"src{i % 3}", "en", i) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["positive_windows", "matched_negatives", "clause_items", "evidence_in_window", "free_windows", "qa_positive_windows", "crop_around"])
+def test_passages_that_cut_numbers(spark, folder, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = QUERIES[name](spark, folder)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert want and sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_records_of_passages_that_cut_numbers(spark, folder):
+    rows = QUERIES["record_build"](spark, folder).collect()
+    assert len({r.id for r in rows}) == len(rows) and {r.category for r in rows if r.task == "qa"}
