@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sampling as S
 from ..operators import spans as N
+from ..operators.grounding import passages
+from ..sources.io import cut
 from .base import SPANS_SQL, TOKENS_SQL, big, draw, query, read, remapped_sql, spans
 
 W = 50
@@ -177,12 +179,13 @@ _MESSY = "replace({}, '. ', '. ' || chr(9) || ' ')"
 @query(remapped_sql(_MESSY, "d.source AS category, ", """SELECT DISTINCT doc_id, category, 'from ' || category AS description, s::BIGINT AS span_start, e2::BIGINT AS span_end, substr(norm, s + 1, e2 - s) AS quoted, true AS is_normal FROM f WHERE e2 > s"""))
 def corpus_parse(spark, sf_dir):
     """Documents as one nested corpus with messy white space, parsed back to spans."""
-    s = spans(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(". \t ")).alias("raw")), "doc_id")
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(". "), F.lit(". \t ")).alias("q"))
-    s = s.join(b, "item_id").where(F.contains("raw", F.col("q")))
+    docs, b = read(spark, sf_dir, "documents").withColumnRenamed("source", "category"), read(spark, sf_dir, "benchmark")
+    messy = F.replace("text", F.lit(". "), F.lit(". \t "))
+    s = passages(docs, b, ["doc_id", "category", "text"]).select("doc_id", "category", "item_id", messy.alias("raw"))
+    s = s.join(b.select("item_id", messy.alias("q")), "item_id").where(F.contains("raw", F.col("q")))
     qa = F.struct(F.concat(F.lit('Highlight "'), F.col("category"), F.lit('". Details: from '), F.col("category")).alias("question"), F.array(F.struct(F.col("q").alias("text"), (F.instr("raw", F.col("q")) - 1).alias("answer_start"))).alias("answers"))
     docs = s.groupBy("doc_id", "raw").agg(F.collect_list(qa).alias("qas"))
     data = docs.select(F.array(F.struct(F.col("doc_id").cast("string").alias("title"), F.array(F.struct(F.col("raw").alias("context"), "qas")).alias("paragraphs"))).alias("data"))
-    contracts, found, about = N.parse_corpus(data)
+    contracts, found, about = N.parse_corpus(cut(data))  # it names the corpus several times
     out = found.join(contracts, "contract_id").join(about, "category")
     return out.select(F.col("contract_id").cast("long").alias("doc_id"), "category", "description", big("start").alias("span_start"), big("end").alias("span_end"), N.quote(F.col("text"), F.col("start"), F.col("end")).alias("quoted"), T.normalize_ws(F.col("text")).eqNullSafe(F.col("text")).alias("is_normal"))

@@ -65,7 +65,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["positive_windows", "matched_negatives", "clause_items", "evidence_in_window", "free_windows", "qa_positive_windows", "crop_around"])
+@pytest.mark.parametrize("name", ["positive_windows", "matched_negatives", "clause_items", "corpus_parse", "evidence_in_window", "free_windows", "qa_positive_windows", "crop_around"])
 def test_passages_that_cut_numbers(spark, folder, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
