@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import cut
 from . import scoring as C
 
 
@@ -17,8 +18,9 @@ def audited_rates() -> dict[str, Column]:
 
 def audited_intervals(rows: DataFrame, order: str = "id", n_boot: int = 1000, seed: str = "b") -> DataFrame:
     """metric, value, lo, hi of the audited rates."""
-    flags = rows.select(order, "hallucinated_audited", "fabricated_audited", "gold_present")
-    per = C.replicates(flags, order, n_boot, seed).groupBy("b").agg(*(c.alias(k) for k, c in audited_rates().items()))
+    # both are named for each rate: written, so that rows are scored and draws made once
+    flags = cut(rows.select(order, "hallucinated_audited", "fabricated_audited", "gold_present"))
+    per = cut(C.replicates(flags, order, n_boot, seed).groupBy("b").agg(*(c.alias(k) for k, c in audited_rates().items())))
     whole = flags.agg(*(c.alias(k) for k, c in audited_rates().items()))
     out = None
     for name in audited_rates():

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.parsing import parse_label, parse_qa
 from ..functions.text import fold, is_grounded, shown, token_f1
+from ..sources.io import cut
 
 INVALID = "<invalid>"
 BINS = 10
+#: Draws that are counted together, and the kinds of rows that are counted.
+STRETCH, KINDS = 65_536, 4_096
 
 
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -143,17 +152,54 @@ def ordinals(rows: DataFrame, order: str, parts: int = 64, sample: int = 4096) -
     return own.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("_j", (F.col("_before") + F.col("_inside")).cast("long")).select("_j", *rows.columns)
 
 
+def _draws(n: int, n_boot: int, seed: str, kind: np.ndarray, n_kinds: int):
+    """A function for ``mapInArrow``: of each number of a stretch of draws the replicate, the kinds drawn and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names = -1, []
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                stretch, b = divmod(one, n_boot)
+                if stretch != at:
+                    at, names = stretch, [b"%d" % i for i in range(stretch * STRETCH, min(n, (stretch + 1) * STRETCH))]
+                head = f"{seed}-{b}-".encode()
+                digests = b"".join([hashlib.md5(head + i, usedforsecurity=False).digest() for i in names])
+                times = np.bincount(kind[np.frombuffer(digests, ">u4")[::4] % n], minlength=n_kinds)
+                own = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b), pa.int32()), pa.array(own, pa.int32()), pa.array(times[own], pa.int32())], names=["b", "_k", "_times"])
+
+    return run
+
+
 def replicates(rows: DataFrame, order: str, n_boot: int, seed: str = "b") -> DataFrame:
-    """``rows`` drawn with replacement, as many as there are, ``n_boot`` times (column ``b``).
+    """``rows`` without ``order``, drawn with replacement, as many as there are, ``n_boot`` times (column ``b``).
 
-    Draw i of replicate b takes row md5(seed-b-i) mod n. The draws are made from a range and joined on the row number,
-    so nothing is collected; n is counted once.
+    Draw i of replicate b takes row md5(seed-b-i) mod n. Rows are worked out once. Those alike but for ``order`` are a kind;
+    the kinds of all rows, two bytes a row, go to the workers, which count the kinds in stretches of draws, so no draw is
+    shuffled; counted kinds become rows again where they are summed up. With over KINDS kinds the draws are joined to the rows.
     """
-    numbered = ordinals(rows, order)
-    n = rows.count()
-    draws = rows.sparkSession.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("b"), (F.col("id") % max(n, 1)).alias("_i"))
-    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("b").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")
-    return draws.withColumn("_j", number % max(n, 1)).join(numbered, "_j").drop("_j", "_i")
+    rows = cut(rows)
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c != order]
+    numbered, n = ordinals(rows, order), rows.count()
+    kinds = rows.select(*columns).distinct().limit(KINDS + 1).collect()
+    if len(kinds) > KINDS:
+        draws = spark.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("b"), (F.col("id") % max(n, 1)).alias("_i"))
+        number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("b").cast("string"), F.col("_i").cast("string"))), 1, 8), 16, 10).cast("long")
+        return draws.withColumn("_j", number % max(n, 1)).join(numbered, "_j").select("b", *columns)
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(kinds)], StructType([StructField("_k", IntegerType()), *(rows.schema[c] for c in columns)]))
+    same = F.lit(True)
+    for c in columns:
+        same = same & numbered[c].eqNullSafe(table[c])
+    of = numbered.join(F.broadcast(table), same).select("_j", F.col("_k").cast("short").alias("_k"))
+    parts = of.groupBy(F.floor(F.col("_j") / STRETCH).alias("_at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_k"))), lambda x: x["_k"]).alias("k"))
+    told = parts.toArrow().sort_by("_at").column("k")
+    kind = np.concatenate([c.flatten().to_numpy() for c in told.chunks]) if n else np.zeros(0, np.int16)
+    stretches = -(-n // STRETCH) * n_boot
+    numbers = spark.range(0, stretches, 1, max(1, min(stretches, max(spark.sparkContext.defaultParallelism * 4, stretches // 256))))
+    sent = spark.sparkContext.broadcast(kind)
+    run = lambda batches: _draws(n, n_boot, seed, sent.value, len(kinds))(batches)
+    drawn = numbers.mapInArrow(run, "b int, _k int, _times int").join(F.broadcast(table), "_k")
+    return drawn.select("b", *columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_one")).drop("_one")
 
 
 def interval(values: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:

@@ -91,7 +91,7 @@ dr AS (SELECT b.range AS b, {draw("'b-' || b.range::VARCHAR || '-' || i.range::V
 v AS (SELECT b, avg(correct::INT::DOUBLE) AS v FROM dr JOIN num USING (j) GROUP BY b), rk AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS m FROM v)
 SELECT round(max(v) FILTER (r = floor(0.025::DOUBLE * m) + 1), 6) AS lo, round(max(v) FILTER (r = floor(0.975::DOUBLE * m)), 6) AS hi FROM rk""")
 def bootstrap_ci(spark, sf_dir):
-    ci = C.bootstrap(classification_rows(spark, sf_dir), C.rate(F.col("correct")), "id", _BOOT)
+    ci = C.bootstrap(classification_rows(spark, sf_dir).select("id", "correct"), C.rate(F.col("correct")), "id", _BOOT)
     return ci.select(r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 

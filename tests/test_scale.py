@@ -1,5 +1,6 @@
 """Steps that read large tables: what they give for odd rows, and that texts stay where they are."""
 
+import hashlib
 import random
 
 import duckdb
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quoin.functions import text as T
 from quoin.operators import grounding as G
+from quoin.operators import reports as R
+from quoin.operators import scoring as C
 from quoin.plans.registry import ORACLES, QUERIES
 
 DOCS = [
@@ -78,3 +81,33 @@ def test_passages_that_cut_numbers(spark, folder, name):
 def test_records_of_passages_that_cut_numbers(spark, folder):
     rows = QUERIES["record_build"](spark, folder).collect()
     assert len({r.id for r in rows}) == len(rows) and {r.category for r in rows if r.task == "qa"}
+
+
+def drawn(n, n_boot, seed="b"):
+    return [[int(hashlib.md5(f"{seed}-{b}-{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)] for b in range(n_boot)]
+
+
+@pytest.mark.parametrize("most", [1, 4096])
+def test_replicates_follow_their_rule(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "KINDS", most)
+    monkeypatch.setattr(C, "STRETCH", 16)
+    values = [None if i % 7 == 3 else float(i % 3) for i in range(50)]
+    rows = spark.createDataFrame([(i, v, i % 2 == 0) for i, v in enumerate(values)], "id long, v double, even boolean").repartition(3)
+    got = {}
+    for r in C.replicates(rows, "id", 4).collect():
+        got.setdefault(r.b, []).append((r.v, r.even))
+    assert {b: sorted(x, key=repr) for b, x in got.items()} == {b: sorted(((values[j], j % 2 == 0) for j in js), key=repr) for b, js in enumerate(drawn(50, 4))}
+    assert C.replicates(rows.limit(0), "id", 4).count() == 0
+
+
+def test_intervals_score_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def costly(i):
+        seen.add(1)
+        return i % 5 == 0
+
+    rows = spark.range(200).select("id", costly("id").alias("hallucinated_audited"), (F.col("id") % 4 == 0).alias("fabricated_audited"), (F.col("id") % 2 == 0).alias("gold_present"))
+    assert {r.metric: r.value for r in R.audited_intervals(rows, n_boot=20).collect()} == {"hallucination_rate_audited": 0.2, "fabricated_rate_audited": 0.0}
+    assert seen.value == 200
