@@ -35,6 +35,9 @@ def leaks(demos: DataFrame, *sets: DataFrame) -> DataFrame:
     return demos.select("contract_id").intersect(evaluation_contracts(list(sets)))
 
 
+_OUTPUTS = (("output", pa.string()), ("n_new_tokens", pa.int64()), ("seq_logprob", pa.float64()), ("p_present", pa.float64()))
+
+
 def predict(items: DataFrame, scorer: Callable[[list[str]], list[dict]], size: str = "n_tokens", partitions: int = 8, batch: int = 16) -> DataFrame:
     """id, output, n_new_tokens, seq_logprob, p_present for items (id, prompt_text, size), in batches of similar length.
 
@@ -46,13 +49,34 @@ def predict(items: DataFrame, scorer: Callable[[list[str]], list[dict]], size: s
             for at in range(0, data.num_rows, batch):
                 part = data.slice(at, batch)
                 out = scorer(part.column(1).to_pylist())
-                cols = [pa.array([o.get(k) for o in out], t) for k, t in (("output", pa.string()), ("n_new_tokens", pa.int64()), ("seq_logprob", pa.float64()), ("p_present", pa.float64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", "output", "n_new_tokens", "seq_logprob", "p_present"])
+                cols = [pa.array([o.get(k) for o in out], t) for k, t in _OUTPUTS]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", *(k for k, _ in _OUTPUTS)])
 
     ordered = items.repartitionByRange(partitions, size).sortWithinPartitions(size).select("id", "prompt_text")
     return ordered.mapInArrow(run, f"id {dict(items.dtypes)['id']}, output string, n_new_tokens long, seq_logprob double, p_present double")
 
 
+def _beside(rows: DataFrame, scorer: Callable[[list[str]], list[dict]], batch: int = 16) -> DataFrame:
+    """``rows`` (prompt_text, n_tokens last) with the outputs of the scorer in place of these two; rows without a prompt have
+    none. Batches are of similar length among the rows that lie together, so nothing moves."""
+    keep = rows.columns[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            prompts, sizes = data.column(len(keep)), data.column(len(keep) + 1).to_pylist()
+            order = sorted((i for i, n in enumerate(prompts.is_valid().to_pylist()) if n), key=lambda i: sizes[i])
+            out: list[dict] = [{}] * data.num_rows
+            for at in range(0, len(order), batch):
+                own = order[at : at + batch]
+                for i, o in zip(own, scorer([prompts[i].as_py() for i in own]), strict=True):
+                    out[i] = o
+            cols = [pa.array([o.get(k) for o in out], t) for k, t in _OUTPUTS]
+            yield pa.RecordBatch.from_arrays([*data.columns[: len(keep)], *cols], names=[*keep, *(k for k, _ in _OUTPUTS)])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{kinds}, output string, n_new_tokens long, seq_logprob double, p_present double")
+
+
 def log_softmax_max(logits: Column) -> Column:
     """Log-probability of the most likely output of a step."""
     top = F.array_max(logits)
@@ -131,14 +155,16 @@ def respond(requests: DataFrame, task: str, scorer: Callable[[list[str]], list[d
     with an error isn't scored and has no answer; the raw output stays inside. One pass scores all good requests.
     """
     ask = task == "ask"
-    known = labels.select(F.col("label").alias("_l"), "description")
-    met = requests.join(known, F.col("clause_type") == F.col("_l"), "left") if ask else requests
-    why = request_error(F.col("text"), tokens, MAX_EXCERPT_TOKENS if ask else MAX_CLAUSE_TOKENS, F.col("_l").isNotNull() if ask else None)
-    met = met.withColumn("error", why)
-    names = sorted(r.label for r in labels.select("label").collect())  # the fixed, short list of a service
+    known = labels.select("label", "description").collect()  # the fixed, short list of a service
+    names = sorted(r.label for r in known)
+    table = requests.sparkSession.createDataFrame(known, "_l string, description string")
+    # texts stay where they are: the list comes to them, and outputs are put beside them
+    met = requests.join(F.broadcast(table), F.col("clause_type") == F.col("_l"), "left") if ask else requests
+    most = MAX_EXCERPT_TOKENS if ask else MAX_CLAUSE_TOKENS
+    met = met.withColumn("error", request_error(F.col("text"), tokens, most, F.col("_l").isNotNull() if ask else None))
     prompt = P.qa_messages(F.col("text"), F.col("clause_type"), F.coalesce("description", F.lit(""))) if ask else P.classification_messages(F.col("text"), F.lit(names))
-    good = met.where(F.col("error").isNull()).select("id", P.chat_text(prompt).alias("prompt_text"), tokens.alias("n_tokens"))
-    out = met.select("id", "text", "error").join(predict(good, scorer), "id", "left")
+    good = F.col("error").isNull()
+    out = _beside(met.select("id", "text", "error", F.when(good, P.chat_text(prompt)).alias("prompt_text"), F.when(good, tokens).alias("n_tokens")), scorer)
     answer = build_answer(F.col("text"), F.col("output"), F.col("p_present")) if ask else build_classification(F.col("output"), F.col("seq_logprob"), names)
     fields = ("present", "confidence", "bucket", "p_present", "quotes", "all_verified", "valid") if ask else ("label", "confidence", "bucket", "valid")
     out = out.withColumn("a", F.when(F.col("error").isNull(), answer))

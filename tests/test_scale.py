@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quoin.functions import text as T
+from quoin.operators import answers as A
 from quoin.operators import grounding as G
 from quoin.operators import reports as R
 from quoin.operators import scoring as C
@@ -111,3 +112,17 @@ def test_intervals_score_rows_once(spark):
     rows = spark.range(200).select("id", costly("id").alias("hallucinated_audited"), (F.col("id") % 4 == 0).alias("fabricated_audited"), (F.col("id") % 2 == 0).alias("gold_present"))
     assert {r.metric: r.value for r in R.audited_intervals(rows, n_boot=20).collect()} == {"hallucination_rate_audited": 0.2, "fabricated_rate_audited": 0.0}
     assert seen.value == 200
+
+
+def test_answers_stand_beside_their_requests(spark):
+    rows = [(1, "first text", "Law"), (1, "other and longer text", "Law"), (None, "third", "Law"), (2, "x", "Nope"), (3, None, "Law"), *((10 + i, "y " * (i % 90 + 1), "Law") for i in range(200))]
+    df = spark.createDataFrame(rows, "id long, text string, clause_type string")
+    labels = df.select(F.col("clause_type").alias("label")).distinct().where("label <> 'Nope'").withColumn("description", F.lit(""))
+    tokens = F.size(F.array_remove(F.split("text", r"\s+"), ""))
+    out = A.respond(df, "ask", lambda prompts: [{"output": '{"present": true, "evidence": []}', "p_present": len(p) / 1e4} for p in prompts], labels, tokens, "m")
+    assert moved(out) == 0
+    got = out.collect()
+    base = next(r.confidence for r in got if r.id is None) - len("third") / 1e4
+    for i, text in [(1, "first text"), (1, "other and longer text"), *((10 + i, "y " * (i % 90 + 1)) for i in range(200))]:
+        assert any(r.id == i and abs(r.confidence - base - len(text) / 1e4) < 1e-9 for r in got)
+    assert len(got) == len(rows) and {r.error for r in got} == {None, "unknown_type", "length"}
