@@ -44,11 +44,10 @@ def shrink(normalized: Column, start: Column, end: Column) -> tuple[Column, Colu
 
 def fold(text: Column) -> Column:
     """Lower-case ASCII letters and digits in words, one space between words."""
-    special = text
+    # replacing in every text costs a fraction of asking first: a match before the next one made both five times as slow
     for char, plain in _FOLDS.items():
-        special = F.replace(special, F.lit(char), F.lit(plain))
-    plain = F.lower(F.when(text.rlike(f"[{''.join(_FOLDS)}]"), special).otherwise(text))
-    return F.btrim(F.regexp_replace(plain, "[^0-9a-z]+", " "), F.lit(" "))
+        text = F.replace(text, F.lit(char), F.lit(plain))
+    return F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z]+", " "))
 
 
 # What ``fold`` does to bytes: A-Z become a-z, all but letters and digits blanks; these characters come to hold ASCII ones.
